@@ -40,6 +40,11 @@ PATTERN = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 HINT = "[0-9@=:]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: what a lambda captures is computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _prf(key: Column, *parts) -> Column:
     """60 keyed bits."""
     text = F.concat_ws("|", key, *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
@@ -63,8 +68,9 @@ def permute_digits(digits: Column, key: Column, tweak) -> Column:
     left = F.floor(F.length(digits) / 2).cast("int")
     right = F.length(digits) - left
     ten = lambda n: F.rpad(F.lit("1"), n + 1, "0").cast("long")
-    out = _feistel(F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"), ten(left), ten(right), key, tweak)
-    return F.concat(F.lpad(out["a"].cast("string"), left, F.lit("0")), F.lpad(out["b"].cast("string"), right, F.lit("0")))
+    pair = F.struct(F.substring(digits, F.lit(1), left).cast("long").alias("a"), F.substring(digits, left + 1, right).cast("long").alias("b"), ten(left).alias("x"), ten(right).alias("y"))
+    moved = let(pair, lambda p: _feistel(p["a"], p["b"], p["x"], p["y"], key, tweak))
+    return let(moved, lambda out: F.concat(F.lpad(out["a"].cast("string"), left, F.lit("0")), F.lpad(out["b"].cast("string"), right, F.lit("0"))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -78,9 +84,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10
 
 
+def luhn(digits: Column) -> Column:
+    return let(digits, _luhn)
+
+
 def _refill(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, in order, by ``digits``."""
+    return let(digits, lambda d: _put(shape, d))
+
 
+def _put(shape: Column, digits: Column) -> Column:
     def put(s: Column, c: Column) -> Column:
         is_digit = F.regexp_like(c, F.lit("[0-9]"))
         return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + is_digit.cast("int")).alias("k"))
@@ -107,7 +120,7 @@ def kind_of(m: Column) -> Column:
         "ip": F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255),
         "date": _day(m).between(0, 145_999),
         "ssn": ~F.regexp_like(m, F.lit("^(000|666|9)|-00-|-0000$")),
-        "card": (F.length(_digits(m)) <= 19) & (_luhn(_digits(m)) == 0),
+        "card": (F.length(_digits(m)) <= 19) & (luhn(_digits(m)) == 0),
     }
     out = F.lit(None).cast("string")
     for name in reversed(KINDS):
@@ -132,20 +145,20 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     half = lambda x: F.concat_ws(".", F.floor(x / 256).cast("int").cast("string"), (x % 256).cast("int").cast("string"))
     day = _day(m)
     moved = _feistel(F.floor(day / 400), day % 400, F.lit(365), F.lit(400), key, "date")
-    new_day = F.date_add(F.lit(BASE_DAY).cast("date"), (moved["a"] * 400 + moved["b"]).cast("int"))
+    new_day = let(moved, lambda x: F.date_add(F.lit(BASE_DAY).cast("date"), (x["a"] * 400 + x["b"]).cast("int")))
     date = reduce(lambda out, f: F.when(F.contains(m, F.lit(f[0])), F.date_format(new_day, f[1])).otherwise(out), _FORMATS.items(), F.lit(None).cast("string"))
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?)?", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     body = F.substring(digits, F.lit(2), F.length(digits) - 2)
-    stem = F.concat(F.substring(digits, 1, 1), permute_digits(body, key, "card"))
-    card = F.concat(stem, F.pmod(10 - _luhn(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string"))
+    stem = F.concat(F.substring(digits, 1, 1), let(body, lambda x: permute_digits(x, key, "card")))
+    card = let(stem, lambda s: F.concat(s, F.pmod(10 - luhn(F.concat(s, F.lit("0"))), F.lit(10)).cast("string")))
     name = F.regexp_extract(m, r"^((?:password|passwd|secret|api_key|apikey|token)\s*[=:]\s*\"?|AKIA)", 1)
     value = F.substring(m, F.length(name) + 1, F.length(m))
     quote = F.when(F.endswith(value, F.lit('"')), F.lit('"')).otherwise(F.lit(""))
     hidden = F.sha2(F.concat_ws("|", key, F.lit("secret"), F.regexp_replace(value, '"', "")), 256)
     secret = F.when(name == "AKIA", F.concat(name, F.upper(F.substring(hidden, 1, 16)))).otherwise(F.concat(name, F.substring(hidden, F.lit(1), F.least(F.lit(64), F.length(value) - F.length(quote))), quote))
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@masked.example"))
-    forms = {"email": email, "secret": secret, "ip": F.concat_ws(".", half(ip["a"]), half(ip["b"])), "date": date, "ssn": _refill(m, permute_digits(digits, key, "ssn")), "phone": F.concat(code, _refill(rest, permute_digits(_digits(rest), key, "phone"))), "card": _refill(m, card)}
+    forms = {"email": email, "secret": secret, "ip": let(ip, lambda x: F.concat_ws(".", half(x["a"]), half(x["b"]))), "date": date, "ssn": _refill(m, let(digits, lambda x: permute_digits(x, key, "ssn"))), "phone": F.concat(code, _refill(rest, let(_digits(rest), lambda x: permute_digits(x, key, "phone")))), "card": _refill(m, card)}
     return reduce(lambda out, k: F.when(kind == k, forms[k]).otherwise(out), reversed(KINDS), m)
 
 
