@@ -198,7 +198,7 @@ class Mix:
         b = self.block
         docs = self.placed.where("size > 0").select("source_ix", "start", "size", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
         docs = docs.select("source_ix", "start", "size", "block", F.greatest(F.col("start"), F.col("block") * b).alias("a"), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b).alias("z"))
-        met = docs.join(self.slots(), ["source_ix", "block"])
+        met = docs.join(self.slots().hint("merge"), ["source_ix", "block"])  # slots grow with the corpus: never broadcast
         end = F.least(F.col("z"), F.col("block") * b + F.col("words"))
         return met.select("source_ix", "start", "shard", "slot", "epoch", "block", (F.col("a") - F.col("start")).alias("at"), (end - F.col("a")).alias("n")).where("n > 0")
 
