@@ -49,13 +49,10 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 
 
 def sampled(df: DataFrame, rows: int, *strata: str) -> DataFrame:
-    """Of each stratum the ``rows`` rows with the lowest hash of doc_id (more where hashes tie), without moving texts.
-
-    Only (strata, hash) is ranked; the thresholds found, one for each stratum, are broadcast back."""
-    from pyspark.sql import Window
+    """Of each stratum about ``rows`` rows, those with the lowest hash of doc_id, without moving texts; all of a smaller one.
 
+    A count of each stratum gives the share of the hash range to keep, so no stratum meets in one task."""
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    ids = df.select(*strata, h.alias("h"))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("h"))
-    top = ids.withColumn("r", rank).where(F.col("r") <= rows).groupBy(*strata).agg(F.max("h").alias("top"))
-    return df.withColumn("h", h).join(bounded(top, 100_000), list(strata)).where("h <= top").drop("top", "h")
+    share = bounded(df.groupBy(*strata).agg((F.lit(float(rows)) / F.count("*")).alias("_share")), 100_000)
+    below = F.col("_h").cast("double") / 2.0**63 < 2 * F.col("_share") - 1
+    return df.withColumn("_h", h).join(share, list(strata)).where(below | (F.col("_share") >= 1)).drop("_share", "_h")
