@@ -19,15 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import ascii_lower, bounded, keep, same
+from pathloom.llm.common import bounded, keep, same
 
 WINDOW, SHINGLE = 10, 3
-TOKEN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-TOKEN_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: ASCII letters and digits, and whatever is beyond ASCII, make words; A-Z are lower-cased, the rest becomes spaces.
+_OTHER = "".join(c for c in map(chr, range(128)) if not (c.isdigit() or c.islower()))
+_FOLDED = "".join(c.lower() if c.isalpha() else " " for c in _OTHER)
+#: Stands once for each document among its shingles, so that one pass also counts words.
+DOCUMENT = -7046029254386353131
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, _OTHER, _FOLDED), " "), "")
 
 
 def _shingles(words: Column, q: int) -> Column:
@@ -60,18 +63,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for n in sizes:
         choose = F.when(F.col("q") == n, _shingles(F.col("w"), n)).otherwise(choose)
     parts = keep(parts.select("win", "len", "q", F.posexplode(choose).alias("at", "sh")))
-    known = bounded(parts.select("q", "sh").distinct())
-    words = docs.select("doc_id", mark, words_of(F.col("text")).alias("w"))
+    spark = docs.sparkSession
+    known = bounded(parts.select("q", "sh").unionByName(spark.createDataFrame([(0, DOCUMENT)], "q int, sh long")).distinct())
+    words = docs.select("doc_id", mark, F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("w"))
     found = None
     for n in sizes:
-        each = words.select("doc_id", "mark", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), n)).alias("pos", "sh"))
-        got = each.join(known.where(F.col("q") == n), "sh")
+        every = _shingles(F.col("w"), n) if found is not None else F.concat(_shingles(F.col("w"), n), F.array(F.lit(DOCUMENT)))
+        each = words.select("doc_id", "mark", F.size("w").alias("n"), F.posexplode(every).alias("pos", "sh"))
+        got = each.join(known.where(F.col("q").isin(n, 0)), "sh")
         found = got if found is None else found.unionByName(got)
-    counted = docs.select("doc_id", mark, F.coalesce(F.regexp_count("text", F.lit(TOKEN_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if found is None:
+        counted = words.select("doc_id", F.size("w").cast("long").alias("n_words"))
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     found = keep(found)
+    counted = found.where("q = 0").select("doc_id", "mark", F.col("n").cast("long").alias("n_words"))
+    found = found.where("q > 0")
     rarity = found.groupBy("q", "sh").agg(F.count("*").alias("seen"))
     prefix = parts.join(rarity, ["q", "sh"], "left").groupBy("win", "len", "q").agg(F.min(F.coalesce("seen", F.lit(0))).alias("least"), F.min_by(F.struct("sh", "at"), F.struct(F.coalesce("seen", F.lit(0)), "at")).alias("p"))
     prefix = prefix.where("least > 0").select("win", "len", "q", "p.sh", "p.at")
