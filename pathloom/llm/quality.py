@@ -90,7 +90,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     rows = SIGNS[other[at : at + (1 << 18)]] * n[at : at + (1 << 18), None]
                     near[who[part_cut]] += np.add.reduceat(rows, part_cut - at, axis=0)
         used = np.flatnonzero(near.any(axis=1))
-        yield pd.DataFrame({"cell": used, "v": list(near[used])})
+        if len(used):  # an empty list column has no Arrow type
+            yield pd.DataFrame({"cell": used, "v": list(near[used])})
 
     rows = spread(docs.select("text")).mapInPandas(run, "cell int, v array<double>")
     sums = rows.groupBy("cell").agg(*[F.sum(F.round(F.col("v")[i]).cast("long")).alias(f"d{i}") for i in range(DIM)]).toArrow()
