@@ -35,8 +35,8 @@ def fnv1a64(texts: list[str]) -> np.ndarray:
 def fnv1a64_native(text: Column) -> Column:
     """The same hash as a Catalyst expression: two 32-bit halves, since a long product would overflow."""
     bytes_ = F.hex(F.encode(text, "UTF-16BE"))
-    steps = F.when(F.length(bytes_) > 0, F.sequence(F.lit(0), F.length(bytes_) / 4 - 1)).otherwise(F.array().cast("array<double>"))
-    unit = lambda i: F.conv(F.substring(bytes_, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long")
+    steps = F.when(F.length(bytes_) > 0, F.sequence(F.lit(0), (F.length(bytes_) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    unit = lambda i: F.conv(F.substring(bytes_, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
     word = F.lit(0xFFFFFFFF).cast("long")
 
     def step(s: Column, i: Column) -> Column:
@@ -45,7 +45,7 @@ def fnv1a64_native(text: Column) -> Column:
         return F.struct((s["hi"] * 435 + F.shiftright(p, 32) + F.shiftleft(x, 8)).bitwiseAND(word).alias("hi"), p.bitwiseAND(word).alias("lo"))
 
     first = F.struct(F.lit(3421674724).cast("long").alias("hi"), F.lit(2216829733).cast("long").alias("lo"))
-    return F.aggregate(steps.cast("array<int>"), first, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
+    return F.aggregate(steps, first, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
 
 
 def features(instruction: str | None, actions, extra: str | None = None) -> tuple[list[str], list[float]]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.functions.hashing import hash_embedding
 from pathloom.schema import FAILURE_PAIRS, LABELS, ROWS_FILE, TRAJECTORY, normalise, validate
@@ -53,7 +54,7 @@ def trajectories_of(raw: DataFrame, dim: int = 256) -> DataFrame:
 
 def read_rows_file(spark: SparkSession, path: str, limit: int) -> DataFrame:
     """Raw rows ``(row_idx, messages, metadata, imageCount)`` of a saved page file ``{"rows": [...]}`` or an array of rows."""
-    rows = spark.read.schema(f"rows array<{ROWS_FILE.simpleString()}>, {ROWS_FILE.simpleString()[7:-1]}").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(T.StructType([T.StructField("rows", T.ArrayType(ROWS_FILE)), *ROWS_FILE.fields])).option("multiLine", True).option("mode", "FAILFAST").json(path)
     nested = rows.select(F.explode_outer("rows").alias("r"), "row_idx", "row").select(F.coalesce("r.row_idx", "row_idx").alias("row_idx"), F.coalesce("r.row", "row").alias("row"))
     images = F.coalesce(F.when(F.size("row.images") >= 0, F.size("row.images")), F.lit(0))
     return first_rows(nested.where("row is not null").select("row_idx", "row.messages", "row.metadata", images.alias("imageCount")), limit)
