@@ -9,7 +9,10 @@ all the bytes its windows cover, and where it stands.
 1. Runs whose anchor stands once are done: nothing in them repeats.
 2. Where all runs of an anchor cover equal bytes, and among the others where two runs do, every window of them repeats.
 3. What is left are runs that share an anchor but not all bytes (the edges of a passage, the edits of a near copy). Of
-   each class of equal runs one is read again and its windows are compared by hash, one row each.
+   each class of equal runs one is read again and its windows are cut into parts of ``STEP`` by their distance to the
+   anchor. All windows of a part share a core of bytes, so a part whose core stands once is done; parts that equal
+   another part repeat as a whole.
+4. Only parts with a shared core and no equal are compared window by window, by hash, one row each.
 
 Counts are combined before each shuffle and no group of equal strings is ever gathered, so a passage that stands in a
 third of all documents costs one row for each place it stands.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import bounded, keep, same, spread
 from pathloom.llm.rolling import Rolling, mix
 
-LENGTH, GRAM, CHUNK = 200, 48, 1_000_000
+LENGTH, GRAM, STEP, CHUNK = 200, 48, 16, 1_000_000
 WIDTH = LENGTH - GRAM + 1  # anchors to choose from; up to 256
 _LOW = np.uint64(255)
 
@@ -46,7 +49,7 @@ def batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def runs_of(texts: list[bytes]) -> pd.DataFrame:
-    """For each run of windows with one anchor: text number, lo, n, ah (anchor), ch (bytes covered)."""
+    """For each run of windows with one anchor: text number, lo, n (windows, and the anchor's distance from lo times 256), ah (anchor), ch (bytes covered)."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
     b = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum(size)
@@ -75,7 +78,7 @@ def runs_of(texts: list[bytes]) -> pd.DataFrame:
     lo, text, anchor = s[new], text[new], place[new]
     n = np.diff(np.append(new, len(s)))
     covered = roll.at(lo, lo + n + LENGTH - 1) ^ mix(((anchor - lo) << 16 | n).astype(np.uint64))
-    return pd.DataFrame({"text": text, "lo": lo - starts[text], "n": n, "ah": gram[anchor].view(np.int64), "ch": covered.view(np.int64)})
+    return pd.DataFrame({"text": text, "lo": lo - starts[text], "n": (anchor - lo) << 8 | n, "ah": gram[anchor].view(np.int64), "ch": covered.view(np.int64)})
 
 
 def _bytes(text: str | None) -> bytes:
@@ -96,19 +99,60 @@ def _runs(docs: DataFrame) -> DataFrame:
     return spread(docs).mapInPandas(run, f"doc_id {kind}, mark long, ah long, ch long, lo int, n int")
 
 
+def _spread_out(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, ``size`` of them."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def parts_of(data: bytes, lo: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (``lo`` and ``n`` of ``runs_of``) cut into parts: run number, first window, windows, core, full (0 if cut short by the run's end)."""
+    roll = Rolling(np.frombuffer(data, dtype=np.uint8))
+    n, far = code & 255, code >> 8
+    low, many = (far - n + 1) // STEP, far // STEP - (far - n + 1) // STEP + 1
+    run, j = np.repeat(np.arange(len(lo)), many), _spread_out(low, many)
+    top = (lo + far)[run] - j * STEP
+    first, last = np.maximum(lo[run], top - STEP + 1), np.minimum((lo + n - 1)[run], top)
+    tag = mix(j.astype(np.uint64) + np.uint64(1))
+    core = roll.at(top, top + LENGTH - STEP + 1) ^ tag
+    full = np.where(last - first + 1 == STEP, roll.at(first, last + LENGTH) ^ tag, np.uint64(0))
+    return run, first, last - first + 1, core.view(np.int64), full.view(np.int64)
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """The parts of the listed runs: doc_id, mark, lo, n, lone, core, full."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for doc, mark, text, listed in part[["doc_id", "mark", "text", "runs"]].itertuples(index=False):
+                at, lo, n, core, full = parts_of(_bytes(text), np.array([r["lo"] for r in listed]), np.array([r["n"] for r in listed]))
+                yield pd.DataFrame({"doc_id": doc, "mark": mark, "lo": lo, "n": n, "lone": np.array([r["lone"] for r in listed])[at], "core": core, "full": full})
+
+    return rows.mapInPandas(run, f"doc_id {kind}, mark long, lo int, n int, lone boolean, core long, full long")
+
+
 def _windows(rows: DataFrame) -> DataFrame:
-    """Each window of the listed runs: doc_id, mark, lo, lone, ah, wh."""
+    """Each window of the listed parts: doc_id, mark, lo, lone, wh."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for doc, mark, text, listed in part[["doc_id", "mark", "text", "runs"]].itertuples(index=False):
-                roll = Rolling(np.frombuffer(_bytes(text), dtype=np.uint8))
                 n = np.array([r["n"] for r in listed])
-                lo = np.repeat([r["lo"] for r in listed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"doc_id": doc, "mark": mark, "lo": lo, "lone": np.repeat([r["lone"] for r in listed], n), "ah": np.repeat([r["ah"] for r in listed], n), "wh": roll.at(lo, lo + LENGTH).view(np.int64)})
+                lo = _spread_out(np.array([r["lo"] for r in listed]), n)
+                wh = Rolling(np.frombuffer(_bytes(text), dtype=np.uint8)).at(lo, lo + LENGTH)
+                yield pd.DataFrame({"doc_id": doc, "mark": mark, "lo": lo, "lone": np.repeat([r["lone"] for r in listed], n), "wh": wh.view(np.int64)})
+
+    return rows.mapInPandas(run, f"doc_id {kind}, mark long, lo int, lone boolean, wh long")
 
-    return rows.mapInPandas(run, f"doc_id {kind}, mark long, lo int, lone boolean, ah long, wh long")
+
+def _read_again(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, mark, text and the list ``runs(lo, n, lone)`` of the documents that ``rows`` name, one row for each."""
+    listed = keep(rows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "n", "lone")).alias("runs")))
+    few = bounded(listed.select("doc_id", "mark"))
+    again = docs.join(few, same(docs, few, "doc_id", "mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
+    listed = listed.hint("shuffle_hash")
+    return again.join(listed, same(again, listed, "doc_id", "mark")).select(again["doc_id"], again["mark"], "text", "runs")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -121,16 +165,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = keep(mixed.groupBy("ah", "ch").agg(F.count("*").alias("size"), one))
     twins = mixed.join(classes.where("size > 1").select("ah", "ch"), ["ah", "ch"])
     open_ = classes.groupBy("ah").agg(F.min("size").alias("least")).where("least = 1").select("ah")
-    listed = classes.join(open_, "ah").select("one.*", "ah", (F.col("size") == 1).alias("lone"))
-    listed = keep(listed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "n", "ah", "lone")).alias("runs")))
-    few = bounded(listed.select("doc_id", "mark"))
-    again = docs.join(few, same(docs, few, "doc_id", "mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
-    listed = listed.hint("shuffle_hash")
-    again = again.join(listed, same(again, listed, "doc_id", "mark")).select(again["doc_id"], again["mark"], "text", "runs")
-    windows = keep(_windows(again))
-    twice = windows.groupBy("ah", "wh").agg(F.count("*").alias("k")).where("k > 1").select("ah", "wh")
-    edges = windows.where("lone").join(twice, ["ah", "wh"]).select("doc_id", "mark", "lo", F.lit(1).alias("n"))
-    return shared.where("not mixed").select("doc_id", "mark", "lo", "n").unionByName(twins.select("doc_id", "mark", "lo", "n")).unionByName(edges)
+    parts = keep(_parts(_read_again(docs, classes.join(open_, "ah").select("one.*", (F.col("size") == 1).alias("lone")))))
+    key = F.when(F.col("full") != 0, F.col("full")).otherwise(F.xxhash64("doc_id", "mark", "lo")).alias("key")
+    groups = keep(parts.select("*", key).groupBy("core", "key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "mark", "lo", "n", "lone")).alias("one")))
+    wholes = parts.where("lone and full <> 0").join(groups.where("size > 1").select("core", F.col("key").alias("full")), ["core", "full"])
+    alone = (F.col("size") == 1) & F.col("one.lone")
+    cores = groups.groupBy("core").agg(F.count("*").alias("sorts"), F.max(alone).alias("open")).where("sorts > 1 and open").select("core")
+    rest = groups.join(cores, "core").select("one.doc_id", "one.mark", "one.lo", "one.n", alone.alias("lone"))
+    windows = keep(_windows(_read_again(docs, rest)))
+    twice = windows.groupBy("wh").agg(F.count("*").alias("k")).where("k > 1").select("wh")
+    edges = windows.where("lone").join(twice, "wh").select("doc_id", "mark", "lo", F.lit(1).alias("n"))
+    named = lambda df, n="n": df.select("doc_id", "mark", "lo", F.expr(n).cast("int").alias("n"))
+    return named(shared.where("not mixed"), "n & 255").unionByName(named(twins, "n & 255")).unionByName(named(wholes)).unionByName(edges)
 
 
 def cut(data: bytes, spans) -> tuple[bytes, int]:
