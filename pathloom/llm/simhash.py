@@ -32,8 +32,10 @@ from pathloom.llm.common import bounded, keep, same, spread
 from pathloom.operators.components import connected_components
 
 D, LEAF, NODE, WORDS = 2, 32, 2048, 3
-#: Of the filtering stage: shingle length, least share of equal bits, and the keys under which codes are compared.
+#: Of the filtering stage: shingle length, least Jaccard similarity, and the keys under which shingle sets are compared.
 STAGE_WORDS, SIMILARITY, BANDS, BAND = 5, 0.8, 16, 3
+#: Sets, and shingles in all, up to which the sets under a key are compared in one task.
+PART, PART_SHINGLES = 1024, 2_000_000
 MULTIPLIERS = np.random.default_rng(23).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = bytes(range(65, 91)), bytes(range(97, 123))
 TO_LOWER = bytes.maketrans(*SPACE)
@@ -162,15 +164,17 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fp over ``STAGE_WORDS``-word shingles, and ``BANDS`` keys, each of ``BAND`` minima of hashed shingles."""
+    """For each row doc_id, mark (hash of the text), sid (digest of its set of ``STAGE_WORDS``-word shingles), n (how many
+    these are), and ``BANDS`` keys, each of ``BAND`` minima of hashed shingles."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            fps, keys = [], []
+            sids, sizes, keys = [], [], []
             for text in part["text"]:
-                hashes = shingle_hashes(text, STAGE_WORDS)
-                fps.append(majority(hashes))
+                hashes = np.unique(shingle_hashes(text, STAGE_WORDS))
+                sids.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                sizes.append(len(hashes))
                 low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
                 for at in range(0, len(hashes), 20_000):
                     h = hashes[None, at : at + 20_000] * MULTIPLIERS[:, None]
@@ -181,26 +185,102 @@ def sketches(docs: DataFrame) -> DataFrame:
                     key = (key ^ band[:, j]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
                 keys.append(key.view(np.int64))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": np.array(fps, dtype=np.uint64).view(np.int64), "keys": keys})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "mark": part["mark"], "sid": np.array(sids, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int64), "keys": keys})
+
+    return spread(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")).mapInPandas(run, f"doc_id {kind}, mark long, sid long, n long, keys array<long>")
+
+
+def set_links(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of links between shingle sets of Jaccard similarity ``SIMILARITY`` or more: the components of all links."""
+    if len(sets) < 2:
+        return []
+    size, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    first, ends = np.cumsum(count) - count, np.cumsum(size)
+    for i in range(len(sets)):
+        open_ = (label != label[i]) & (np.minimum(size, size[i]) >= SIMILARITY * np.maximum(size, size[i]) - 1e-9)
+        open_[:i] = False
+        if not open_.any():
+            continue
+        mine = code[ends[i] - size[i] : ends[i]]
+        n = count[mine]
+        places = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[places], minlength=len(sets))
+        for j in np.flatnonzero(open_ & (shared >= SIMILARITY * (size + size[i] - shared) - 1e-9)).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((sids[i], sids[j]))
+    return out
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid and its shingles' hashes, from the one row of ``docs`` that ``wanted(doc_id, mark, sid)`` names for each."""
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, fp long, keys array<long>")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"sid": part["sid"], "shingles": [np.unique(shingle_hashes(x, STAGE_WORDS)).tobytes() for x in part["text"]]})
 
+    rows, small = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), bounded(wanted)
+    rows = rows.join(small, same(rows, small, "doc_id", "mark")).select("sid", "text").dropDuplicates(["sid"])
+    return rows.mapInPandas(run, "sid long, shingles binary")
 
-def similar_links(found: DataFrame) -> DataFrame:
-    """Links between codes that share a key of ``found(fp, keys)`` and agree in at least ``SIMILARITY`` of their bits.
 
-    Codes under one key are compared through the Gray-order index; a key with over ``NODE`` codes is cut into parts, and
-    each pair of parts is a node of its own, so nothing is left out and no task gets the whole."""
-    d = int(64 * (1 - SIMILARITY))
-    rows = found.select("fp", F.explode("keys").alias("key")).distinct()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = keep(rows.join(sizes, "key"))
-    small = rows.where(F.col("size") <= NODE).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("members")).select("members").distinct()
-    part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / NODE)).alias("part")
-    parts = rows.where(F.col("size") > NODE).select("key", part, "fp").groupBy("key", "part").agg(F.collect_list("fp").alias("members"))
-    a, b = parts.alias("a"), parts.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") <= F.col("b.part"))).select(F.array_union("a.members", "b.members").alias("members"))
-    return _inside(small.unionByName(pairs), d).distinct()
+def _verified(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within each list of ``lists(members)``, by the exact similarity of the sets."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sids, held = None, [], []
+        for part in parts:
+            got = []
+            for name, sid, shingles in zip(part["list"].tolist(), part["sid"].tolist(), part["shingles"], strict=True):
+                if name != at:
+                    got += set_links(sids, held)
+                    at, sids, held = name, [], []
+                sids.append(sid)
+                held.append(np.frombuffer(shingles, dtype="<u8"))
+            yield pd.DataFrame(got, columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(set_links(sids, held), columns=["u", "v"], dtype="int64")
+
+    rows = lists.select("members").distinct().select(F.xxhash64("members").alias("list"), F.explode("members").alias("sid"))
+    return rows.join(sets, "sid").repartition("list").sortWithinPartitions("list").mapInPandas(run, "u long, v long")
+
+
+def similar_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between the sets of ``found`` that share a key and have Jaccard similarity ``SIMILARITY`` or more.
+
+    The sets under a key are one list, compared in one task. A key over ``PART`` sets or ``PART_SHINGLES`` shingles is cut
+    into parts that have the key's first and last set in common. If its sets are then not all of one component, blocks of
+    them are compared pair by pair; only blocks that lie within the same component are not. So nothing is left out."""
+    rows = found.select("sid", "n", F.explode("keys").alias("key")).distinct()
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    many = lambda size, weight: F.ceil(F.greatest(size / PART, weight / PART_SHINGLES, F.lit(1.0)))
+    rows = keep(rows.join(sizes, "key").select("key", "sid", "n", many(F.col("size"), F.col("weight")).alias("parts")))
+    shared = rows.select("sid").distinct()
+    wanted = found.join(shared, "sid").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+    sets = keep(_shingle_sets(docs, wanted.select("first.doc_id", "first.mark", "sid")))
+
+    hot = rows.where("parts > 1")
+    ends = hot.groupBy("key", "parts").agg(F.min("sid").alias("a"), F.max("sid").alias("b"))
+    ends = ends.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "a", "b").select("key", "part", F.explode(F.array("a", "b")).alias("sid"))
+    listed = rows.select("key", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"), "sid").unionByName(ends)
+    near = keep(_verified(listed.groupBy("key", "part").agg(F.array_sort(F.collect_set("sid")).alias("members")).where(F.size("members") > 1), sets))
+    if hot.isEmpty():
+        return near
+
+    roots = connected_components(near)
+    rooted = hot.join(roots, hot["sid"] == roots["id"], "left").select("key", "sid", "n", "parts", F.coalesce("root", "sid").alias("root"))
+    rooted = keep(rooted.join(rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed"), "key"))
+    if rooted.isEmpty():
+        return near
+    sub = rooted.groupBy("key", "root").agg(many(F.count("*"), F.sum("n")).alias("sub"))
+    big, place = F.col("sub") > 1, F.xxhash64("sid")
+    block = F.struct(F.when(big, F.col("root")).alias("root"), F.when(big, F.pmod(place, F.col("sub"))).otherwise(F.pmod(F.xxhash64("root"), F.col("parts"))).alias("at"))
+    blocks = keep(rooted.join(sub, ["key", "root"]).select("key", "sid", block.alias("block")).groupBy("key", "block").agg(F.collect_list("sid").alias("members")))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    apart = F.col("a.block.root").isNull() | F.col("b.block.root").isNull() | (F.col("a.block.root") != F.col("b.block.root"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & apart)
+    return near.unionByName(_verified(pairs.select(F.array_sort(F.array_union("a.members", "b.members")).alias("members")), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -211,11 +291,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (null is largest).
 
-    A group here is five words to a shingle and ``SIMILARITY`` of the fingerprint's bits, which two bits of 64 would miss.
-    Of rows that repeat a doc_id one stays. Rows without a word share fingerprint zero, so one of them stays.
+    A group here is a component of documents whose sets of five-word shingles have Jaccard similarity ``SIMILARITY`` or
+    more. Pairs are found by ``BANDS`` keys of ``BAND`` minima, which a pair at 0.8 shares none of once in 100,000 times, and
+    each is verified by its sets. Of rows that repeat a doc_id one stays. Of rows without a word one stays.
     """
     found = keep(sketches(docs))
-    groups = keep(_grouped(found.select("doc_id", "fp"), similar_links(found)))
+    roots = connected_components(similar_links(docs, found))
+    first = found.groupBy("sid").agg(F.min("doc_id").alias("first"))
+    named = keep(first.join(roots, first["sid"] == roots["id"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "first"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    groups = keep(found.select("doc_id", "sid").join(named.join(lowest, "root"), "sid").select("doc_id", "component_id"))
     gone = bounded(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     kept = docs.join(gone, same(docs, gone, "doc_id"), "left_anti")
     if groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():

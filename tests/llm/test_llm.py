@@ -169,6 +169,67 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert kept == {0, 50, 90}
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_near_stage(rows):
+    """The ids that stay: the lowest of each component of pairs at Jaccard 0.8 or more."""
+    sets, root = {i: shingle_set(t) for i, t, _ in rows}, {i: i for i, _, _ in rows}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 5 * len(a & b) >= 4 * len(a | b) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+@pytest.mark.parametrize("part", [3, 1024])
+def test_near_duplicate_stage_against_brute_force(spark, monkeypatch, part):
+    """Pairs about the limit of 0.8, a large group, and a crowded key that also has sets of other components."""
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows, at = [], {}
+    for k, (kept, extra) in enumerate([(78, 22), (79, 21), (80, 20), (81, 19), (85, 15)] * 6):
+        both, more = words(kept + 4), words(extra)
+        rows += [(1000 + 2 * k, " ".join(both), "a"), (1001 + 2 * k, " ".join(both + more), "a")]  # kept shingles of kept + extra
+        at[1001 + 2 * k] = kept
+    base = words(200)
+    for i in range(24):  # a group of near copies, then texts further and further from it
+        text = list(base)
+        text[7 * i] = f"x{i}"
+        rows.append((i, " ".join(text), "a"))
+    for i in range(24):
+        text = list(base)
+        for p in rng.sample(range(200), i // 2 + 3):
+            text[p] = f"y{i}"
+        rows.append((100 + i, " ".join(text), "a"))
+    want = brute_near_stage(rows)
+    assert {k for i, k in at.items() if i in want} == {78, 79} and {k for i, k in at.items() if i not in want} == {80, 81, 85}
+    got = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_set_links_are_the_components_of_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(60) > rng.random() * 0.2], rng.integers(0, 99, rng.integers(1, 9), dtype=np.uint64)))) for _ in range(60)]
+    root = list(range(60))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i < j and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+                root = [root[i] if r == root[j] else r for r in root]
+    links = simhash.set_links(list(range(60)), sets)
+    joined = list(range(60))
+    for i, j in links:
+        assert joined[i] != joined[j]
+        joined = [joined[i] if r == joined[j] else r for r in joined]
+    same = lambda x: [[a == b for b in x] for a in x]
+    assert same(joined) == same(root) and 0 < len(links) < 59
+
+
 def brute_contamination(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
