@@ -27,6 +27,8 @@ _OTHER = "".join(c for c in map(chr, range(128)) if not (c.isdigit() or c.islowe
 _FOLDED = "".join(c.lower() if c.isalpha() else " " for c in _OTHER)
 #: Stands once for each document among its shingles, so that one pass also counts words.
 DOCUMENT = -7046029254386353131
+#: The column that tells rows of one doc_id apart.
+MARK = "_text_mark"
 
 
 def words_of(text: Column) -> Column:
@@ -53,6 +55,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A null or empty text has no words; repeated rows (same id and text) get the same answer each; items with a null id
     hit words but are not listed; with an empty benchmark nothing is hit.
     """
+    return _verdicts(docs, benchmark).drop("mark")
+
+
+def _verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` with mark, the hash of the row's text."""
     mark = F.xxhash64("text").alias("mark")
     windows = keep(windows_of(benchmark))
     distinct = windows.select("win", "len").distinct()
@@ -74,8 +81,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = got if found is None else found.unionByName(got)
     none = F.sha2(F.lit(""), 256)
     if found is None:
-        counted = words.select("doc_id", F.size("w").cast("long").alias("n_words"))
-        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        counted = words.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"))
+        return counted.select("doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     found = keep(found)
     counted = found.where("q = 0").select("doc_id", "mark", F.col("n").cast("long").alias("n_words"))
     found = found.where("q > 0")
@@ -99,10 +106,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = counted.join(verdict, same(counted, verdict, "doc_id", "mark"), "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(counted["doc_id"], "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return out.select(counted["doc_id"], counted["mark"], "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, same(docs, bad, "doc_id"), "left_anti")
+    """The rows of ``docs`` in which no window of the benchmark occurs; rows that share a doc_id are told apart by text."""
+    bad = _verdicts(docs, benchmark).where("contaminated").select("doc_id", F.col("mark").alias(MARK)).distinct()
+    rows = docs.withColumn(MARK, F.xxhash64("text"))
+    return rows.join(bad, same(rows, bad, "doc_id", MARK), "left_anti").drop(MARK)

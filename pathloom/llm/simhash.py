@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import bounded, keep, same, spread
@@ -36,6 +36,8 @@ D, LEAF, NODE, WORDS = 2, 32, 2048, 3
 STAGE_WORDS, SIMILARITY, BANDS, BAND = 5, 0.8, 16, 3
 #: Sets, and shingles in all, up to which the sets under a key are compared in one task.
 PART, PART_SHINGLES = 1024, 2_000_000
+#: The column that tells rows of one doc_id apart while the stage runs.
+MARK = "_text_mark"
 MULTIPLIERS = np.random.default_rng(23).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = bytes(range(65, 91)), bytes(range(97, 123))
 TO_LOWER = bytes.maketrans(*SPACE)
@@ -246,6 +248,11 @@ def _verified(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(sets, "sid").repartition("list").sortWithinPartitions("list").mapInPandas(run, "u long, v long")
 
 
+def _order() -> Column:
+    """Of the rows of a group the least stays: the smallest doc_id, null being largest, then the smallest hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
+
+
 def similar_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Links between the sets of ``found`` that share a key and have Jaccard similarity ``SIMILARITY`` or more.
 
@@ -257,7 +264,7 @@ def similar_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     many = lambda size, weight: F.ceil(F.greatest(size / PART, weight / PART_SHINGLES, F.lit(1.0)))
     rows = keep(rows.join(sizes, "key").select("key", "sid", "n", many(F.col("size"), F.col("weight")).alias("parts")))
     shared = rows.select("sid").distinct()
-    wanted = found.join(shared, "sid").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+    wanted = found.join(shared, "sid").groupBy("sid").agg(F.min(_order()).alias("first"))
     sets = keep(_shingle_sets(docs, wanted.select("first.doc_id", "first.mark", "sid")))
 
     hot = rows.where("parts > 1")
@@ -293,17 +300,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     A group here is a component of documents whose sets of five-word shingles have Jaccard similarity ``SIMILARITY`` or
     more. Pairs are found by ``BANDS`` keys of ``BAND`` minima, which a pair at 0.8 shares none of once in 100,000 times, and
-    each is verified by its sets. Of rows that repeat a doc_id one stays. Of rows without a word one stays.
+    each is verified by its sets. A row is known by its doc_id and its text: rows that repeat both are one, rows that share
+    a doc_id (or have none) over different texts are documents of their own. Of rows without a word one stays.
     """
     found = keep(sketches(docs))
     roots = connected_components(similar_links(docs, found))
-    first = found.groupBy("sid").agg(F.min("doc_id").alias("first"))
+    first = found.groupBy("sid").agg(F.min(_order()).alias("first"))
     named = keep(first.join(roots, first["sid"] == roots["id"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "first"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = keep(found.select("doc_id", "sid").join(named.join(lowest, "root"), "sid").select("doc_id", "component_id"))
-    gone = bounded(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(gone, same(docs, gone, "doc_id"), "left_anti")
-    if groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    stays = named.groupBy("root").agg(F.min("first").alias("stays"))
+    groups = found.join(named.join(stays, "root").select("sid", "stays"), "sid")
+    gone = bounded(keep(groups.where(_order() != F.col("stays")).select("doc_id", "mark").distinct()).withColumnRenamed("mark", MARK))
+    kept = docs.withColumn(MARK, F.xxhash64("text"))
+    kept = kept.join(gone, same(kept, gone, "doc_id", MARK), "left_anti")
+    again = keep(found.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.col("mark").alias(MARK)))
+    if again.isEmpty():
+        return kept.drop(MARK)
+    again = bounded(again)
+    once, more = (kept.join(again, same(kept, again, "doc_id", MARK), how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates(["doc_id", MARK])).drop(MARK)

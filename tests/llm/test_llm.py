@@ -258,6 +258,20 @@ def test_contamination_against_brute_force(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute_contamination(corpus, items) if not r[5])
 
 
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Rows without an id, or with the same one, are dropped one by one and never for each other."""
+    rng = random.Random(21)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    rows = [(None, a, "x"), (None, b, "x"), (None, c, "x"), (None, c, "y"), (4, b, "x"), (5, d, "x"), (5, e, "x"), (6, e, "x"), (7, f, "x"), (7, f, "x")]
+    kept = simhash.drop_near_duplicates(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, a), (None, c), (4, b), (5, d), (5, e), (7, f)], key=repr)
+    items = spark.createDataFrame([(1, " ".join(a.split()[5:25])), (2, " ".join(d.split()[5:25]))], "item_id long, text string")
+    left = decontaminate.drop_contaminated(frame(spark, rows), items)
+    assert left.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(i, t) for i, t, _ in rows if t not in (a, d)], key=repr)
+
+
 def digits(text):
     return re.sub("[^0-9]", "", text)
 
