@@ -9,8 +9,9 @@ itself across documents and the text keeps its shape:
 * IPv4 addresses (octets up to 255): the 32 bits permuted;
 * dates (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy; real days from 1800 to 2199): permuted within these 146,000 days.
 
-E-mail addresses and secrets (access keys, password= and token= values) have no numeric domain; they become keyed hashes
-of a like form. A value that fails its validation is left as it is.
+E-mail addresses and secrets (access keys; password= and token= values of eight or more characters, names in any case,
+values up to the next space or quote) have no numeric domain; they become keyed hashes of a like form, of 64 characters
+at most. A value that fails its validation is left as it is.
 
 A document is cut at the matches of one expression; pieces and pseudonyms are joined again. No shuffle.
 """
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import spread
 
-KINDS = ("email", "secret", "ip", "date", "ssn", "phone", "card")
+KINDS = ("secret", "email", "ip", "date", "ssn", "phone", "card")
 ROUNDS, KEY_CONF, BASE_DAY = 8, "spark.pathloom.pii.key", "1800-01-01"
+#: Before the value of a secret, in any case.
+_NAME = r"(?i:password|passwd|secret|api_key|apikey|token)\s{0,3}[=:]\s{0,3}"
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|secret|api_key|apikey|token)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-+/.]{8,200}\"?)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|" + _NAME + r"(?:\"[^\s\"]{8,}+\"?|'[^\s']{8,}+'?|[^\s\"'][^\s\"]{7,}+\"?))",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
@@ -109,7 +112,7 @@ def kind_of(m: Column) -> Column:
     """Which of ``KINDS`` a match is; null if its validation fails."""
     tests = {
         "email": F.contains(m, F.lit("@")),
-        "secret": F.regexp_like(m, F.lit("^(?:AKIA|password|passwd|secret|api_key|apikey|token)")),
+        "secret": F.regexp_like(m, F.lit(f"^(?:AKIA[0-9A-Z]{{16}}$|{_NAME})")),
         "ip": F.regexp_like(m, F.lit(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")),
         "date": F.regexp_like(m, F.lit(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$")),
         "ssn": F.regexp_like(m, F.lit("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
@@ -152,10 +155,10 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     body = F.substring(digits, F.lit(2), F.length(digits) - 2)
     stem = F.concat(F.substring(digits, 1, 1), let(body, lambda x: permute_digits(x, key, "card")))
     card = let(stem, lambda s: F.concat(s, F.pmod(10 - luhn(F.concat(s, F.lit("0"))), F.lit(10)).cast("string")))
-    name = F.regexp_extract(m, r"^((?:password|passwd|secret|api_key|apikey|token)\s*[=:]\s*\"?|AKIA)", 1)
+    name = F.regexp_extract(m, f"^({_NAME}[\"']?|AKIA)", 1)
     value = F.substring(m, F.length(name) + 1, F.length(m))
-    quote = F.when(F.endswith(value, F.lit('"')), F.lit('"')).otherwise(F.lit(""))
-    hidden = F.sha2(F.concat_ws("|", key, F.lit("secret"), F.regexp_replace(value, '"', "")), 256)
+    quote = F.regexp_extract(value, "[\"']?$", 0)
+    hidden = F.sha2(F.concat_ws("|", key, F.lit("secret"), F.regexp_replace(value, "[\"']$", "")), 256)
     secret = F.when(name == "AKIA", F.concat(name, F.upper(F.substring(hidden, 1, 16)))).otherwise(F.concat(name, F.substring(hidden, F.lit(1), F.least(F.lit(64), F.length(value) - F.length(quote))), quote))
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@masked.example"))
     forms = {"email": email, "secret": secret, "ip": let(ip, lambda x: F.concat_ws(".", half(x["a"]), half(x["b"]))), "date": date, "ssn": _refill(m, let(digits, lambda x: permute_digits(x, key, "ssn"))), "phone": F.concat(code, _refill(rest, let(_digits(rest), lambda x: permute_digits(x, key, "phone")))), "card": _refill(m, card)}

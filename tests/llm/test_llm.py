@@ -298,6 +298,16 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert again == {i: r.text for i, r in got.items()} and other[0] != again[0]
 
 
+def test_secrets_of_any_case_length_and_characters(spark):
+    long, token = "".join(random.Random(2).choices("abcdefghijXYZ0123456789_-.", k=1000)), "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [f'TOKEN = "{token}" end', "Password: hunter2hunter2 end", f"token={long} end", "password=p@ssw0rd99 end", "Secret='it is' no; API_KEY='k@y!k@y!k@y!' end", f'token = "{token}" end', "password=it's-a-secret end", "secret: short end", "token.ann@mail.example.org end"]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), "k").collect()}
+    assert [list(got[i].found) for i in range(len(texts))] == [["secret"]] * 7 + [[], ["email"]]
+    assert re.fullmatch(r'TOKEN = "[0-9a-f]{40}" end', got[0].text) and re.fullmatch("Password: [0-9a-f]{14} end", got[1].text) and re.fullmatch("token=[0-9a-f]{64} end", got[2].text)
+    assert re.fullmatch("password=[0-9a-f]{10} end", got[3].text) and re.fullmatch("Secret='it is' no; API_KEY='[0-9a-f]{12}' end", got[4].text) and re.fullmatch("password=[0-9a-f]{13} end", got[6].text)
+    assert got[5].text == got[0].text.replace("TOKEN", "token") and got[7].text == texts[7]
+
+
 def test_digit_permutation_is_a_bijection(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = [r[0] for r in rows.select(pii.permute_digits(F.col("d"), F.lit("k"), "t")).collect()]
