@@ -3,11 +3,12 @@
 Numbers and dates are permuted by a Feistel network over their own domain, keyed by SHA-256, so a value stays linked to
 itself across documents and the text keeps its shape:
 
-* payment cards (13 to 19 digits, Luhn-valid): first digit kept, the rest permuted, check digit recomputed;
+* payment cards (13 to 19 digits in groups of any size with single separators, Luhn-valid): first digit kept, the rest permuted, check digit recomputed;
 * US social security numbers (valid area, group, serial): the nine digits permuted;
-* phone numbers with an area code: all digits after the country code permuted, separators kept;
+* phone numbers with an area code of three digits, and those of 8 to 15 digits that begin with + and a country code: all
+  digits after the country code permuted, separators kept;
 * IPv4 addresses (octets up to 255): the 32 bits permuted;
-* dates (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy; real days from 1800 to 2199): permuted within these 146,000 days.
+* dates (yyyy-mm-dd, dd/mm/yyyy, else mm/dd/yyyy, dd.mm.yyyy; real days from 1800 to 2199): permuted within these 146,000 days.
 
 E-mail addresses and secrets (access keys; password= and token= values of eight or more characters, names in any case,
 values up to the next space or quote) have no numeric domain; they become keyed hashes of a like form, of 64 characters
@@ -29,14 +30,19 @@ KINDS = ("secret", "email", "ip", "date", "ssn", "phone", "card")
 ROUNDS, KEY_CONF, BASE_DAY = 8, "spark.pathloom.pii.key", "1800-01-01"
 #: Before the value of a secret, in any case.
 _NAME = r"(?i:password|passwd|secret|api_key|apikey|token)\s{0,3}[=:]\s{0,3}"
+#: A phone number without a country code, and what is no further group of a number when it follows a separator.
+_LOCAL = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+_APART = r"(?:[A-Za-z0-9._%+-]{1,64}+@|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])|[0-9]{13,19}(?![0-9])|[0-9]{4}[ -](?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{6}[ -][0-9]{4,5})(?![0-9]))"
+#: A country code: 1, 7, or one of the two-digit codes, else three digits.
+_COUNTRY = r"^(\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})[ .-]?)?"
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|" + _NAME + r"(?:\"[^\s\"]{8,}+\"?|'[^\s']{8,}+'?|[^\s\"'][^\s\"]{7,}+\"?))",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9]|[.-][0-9])",
+    "phone": r"(?<![0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|\+[1-9](?:(?:[ -](?!" + _APART + r")|\.)?\(?[0-9]\)?){7,14}|" + _LOCAL + ")(?![0-9])",
+    "card": r"(?<![0-9.-])(?:[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3}(?![0-9]))?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19}|[0-9](?:[ -](?!" + _APART + "|" + _LOCAL + r"(?![0-9]))[0-9]|[0-9]){12,30})(?![0-9]|[.-][0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: Texts without any of these have no match.
@@ -108,6 +114,21 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _card_end(m: Column) -> Column:
+    """Where the card ends in a run of groups of digits, as other numbers may follow it: the longest Luhn-valid beginning of
+    whole groups with 13 to 19 digits; null if there is none."""
+    is_digit = lambda n: F.regexp_like(F.substring(m, n, F.lit(1)), F.lit("[0-9]"))
+    to = lambda n: _digits(F.substring(m, F.lit(1), n))
+    ends = F.filter(F.sequence(F.greatest(F.length(m), F.lit(13)), F.lit(13), F.lit(-1)), lambda n: is_digit(n) & ~is_digit(n + 1) & F.length(to(n)).between(13, 19))
+    return F.get(F.filter(ends, lambda n: luhn(to(n)) == 0), F.lit(0))
+
+
+def _other_card(digits: Column, key: Column) -> Column:
+    """Another card number of as many digits."""
+    stem = F.concat(F.substring(digits, 1, 1), permute_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"))
+    return let(stem, lambda s: F.concat(s, F.pmod(10 - luhn(F.concat(s, F.lit("0"))), F.lit(10)).cast("string")))
+
+
 def kind_of(m: Column) -> Column:
     """Which of ``KINDS`` a match is; null if its validation fails."""
     tests = {
@@ -116,14 +137,14 @@ def kind_of(m: Column) -> Column:
         "ip": F.regexp_like(m, F.lit(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")),
         "date": F.regexp_like(m, F.lit(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$")),
         "ssn": F.regexp_like(m, F.lit("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
-        "phone": F.regexp_like(m, F.lit(r"^\+|^\(|^[0-9]{3}[.-][0-9]{3}[ .-]")),
+        "phone": F.regexp_like(m, F.lit(r"^\+|^\(|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")),
         "card": F.lit(True),
     }
     valid = {
         "ip": F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255),
         "date": _day(m).between(0, 145_999),
         "ssn": ~F.regexp_like(m, F.lit("^(000|666|9)|-00-|-0000$")),
-        "card": (F.length(_digits(m)) <= 19) & (luhn(_digits(m)) == 0),
+        "card": _card_end(m).isNotNull(),
     }
     out = F.lit(None).cast("string")
     for name in reversed(KINDS):
@@ -131,13 +152,22 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-_FORMATS = {"-": "yyyy-MM-dd", "/": "dd/MM/yyyy", r".": "dd.MM.yyyy"}
+#: Of two that fit, the later one holds: 12/25/1999 is month first, as there is no day 12/25.
+_FORMATS = (("-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy"))
+
+
+def _by_format(m: Column, use) -> Column:
+    """``use(day, format)`` with the format in which the match is a day; null where there is no such day."""
+    out = F.lit(None)
+    for sign, form in _FORMATS:
+        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
+        out = F.when(F.contains(m, F.lit(sign)) & day.isNotNull(), use(day, form)).otherwise(out)
+    return out
 
 
 def _day(m: Column) -> Column:
     """Days since ``BASE_DAY``; null where there is no such day."""
-    day = reduce(lambda out, f: F.when(F.contains(m, F.lit(f[0])), F.try_to_timestamp(m, F.lit(f[1])).cast("date")).otherwise(out), _FORMATS.items(), F.lit(None).cast("date"))
-    return F.datediff(day, F.lit(BASE_DAY).cast("date"))
+    return F.datediff(_by_format(m, lambda day, _: day), F.lit(BASE_DAY).cast("date"))
 
 
 def pseudonym(m: Column, kind: Column, key: Column) -> Column:
@@ -149,19 +179,17 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     day = _day(m)
     moved = _feistel(F.floor(day / 400), day % 400, F.lit(365), F.lit(400), key, "date")
     new_day = let(moved, lambda x: F.date_add(F.lit(BASE_DAY).cast("date"), (x["a"] * 400 + x["b"]).cast("int")))
-    date = reduce(lambda out, f: F.when(F.contains(m, F.lit(f[0])), F.date_format(new_day, f[1])).otherwise(out), _FORMATS.items(), F.lit(None).cast("string"))
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?)?", 0)
+    date = let(new_day, lambda x: _by_format(m, lambda _, form: F.date_format(x, form)))
+    code = F.regexp_extract(m, _COUNTRY, 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
-    body = F.substring(digits, F.lit(2), F.length(digits) - 2)
-    stem = F.concat(F.substring(digits, 1, 1), let(body, lambda x: permute_digits(x, key, "card")))
-    card = let(stem, lambda s: F.concat(s, F.pmod(10 - luhn(F.concat(s, F.lit("0"))), F.lit(10)).cast("string")))
+    card = let(_card_end(m), lambda n: F.concat(_refill(F.substring(m, F.lit(1), n), let(_digits(F.substring(m, F.lit(1), n)), lambda d: _other_card(d, key))), F.substring(m, n + 1, F.length(m))))
     name = F.regexp_extract(m, f"^({_NAME}[\"']?|AKIA)", 1)
     value = F.substring(m, F.length(name) + 1, F.length(m))
     quote = F.regexp_extract(value, "[\"']?$", 0)
     hidden = F.sha2(F.concat_ws("|", key, F.lit("secret"), F.regexp_replace(value, "[\"']$", "")), 256)
     secret = F.when(name == "AKIA", F.concat(name, F.upper(F.substring(hidden, 1, 16)))).otherwise(F.concat(name, F.substring(hidden, F.lit(1), F.least(F.lit(64), F.length(value) - F.length(quote))), quote))
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@masked.example"))
-    forms = {"email": email, "secret": secret, "ip": let(ip, lambda x: F.concat_ws(".", half(x["a"]), half(x["b"]))), "date": date, "ssn": _refill(m, let(digits, lambda x: permute_digits(x, key, "ssn"))), "phone": F.concat(code, _refill(rest, let(_digits(rest), lambda x: permute_digits(x, key, "phone")))), "card": _refill(m, card)}
+    forms = {"email": email, "secret": secret, "ip": let(ip, lambda x: F.concat_ws(".", half(x["a"]), half(x["b"]))), "date": date, "ssn": _refill(m, let(digits, lambda x: permute_digits(x, key, "ssn"))), "phone": F.concat(code, _refill(rest, let(_digits(rest), lambda x: permute_digits(x, key, "phone")))), "card": card}
     return reduce(lambda out, k: F.when(kind == k, forms[k]).otherwise(out), reversed(KINDS), m)
 
 

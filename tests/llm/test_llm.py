@@ -308,6 +308,25 @@ def test_secrets_of_any_case_length_and_characters(spark):
     assert got[5].text == got[0].text.replace("TOKEN", "token") and got[7].text == texts[7]
 
 
+def test_number_and_date_forms(spark):
+    cases = [
+        ("call 212 555 0188 now", ["phone"]), ("call +1 212 555 0188 now", ["phone"]), ("call +44 20 7946 0958 now", ["phone"]), ("call +44 (20) 7946-0958.", ["phone"]), ("call +12125550188", ["phone"]), ("amex 3782 822463 10005 end", ["card"]), ("amex 378282246310005", ["card"]),
+        ("12 4111 1111 1111 1111 24 end", ["card"]), ("12 4111111111111111 212-555-0188 end", ["card", "phone"]), ("4111 1111 1111 1111 123-45-6789", ["card", "ssn"]), ("6011 0009 9013 9424 1980-02-29", ["card", "date"]), ("4111 1111 1111 1111 5500 0000 0000 0004", ["card", "card"]), ("on 12/25/1999 and 25/12/1999", ["date", "date"]), ("1234567890128 99bob@mail.example.org", ["card", "email"]),
+        ("not 3782 822463 10006 nor 13/13/1999 nor 02/30/1999 nor +1 23 4 nor 12 345 678", []),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(i, t, "a") for i, (t, _) in enumerate(cases)]), "k").collect()}
+    for i, (text, kinds) in enumerate(cases):
+        assert list(got[i].found) == kinds, text
+        assert "email" in kinds or re.sub("[0-9]", "0", got[i].text) == re.sub("[0-9]", "0", text)
+        assert (got[i].text != text) == bool(kinds)
+    assert got[1].text.startswith("call +1 ") and got[2].text.startswith("call +44 ") and digits(got[1].text) == digits(got[4].text)
+    a, b = digits(got[5].text), digits(got[6].text)
+    assert a == b != "378282246310005" and luhn(a)
+    assert got[7].text.startswith("12 4") and got[7].text.endswith(" 24 end") and luhn(digits(got[7].text)[2:18]) and "4111 1111 1111 1111" not in got[7].text
+    m, d, y = got[12].text[3:13].split("/")
+    assert got[12].text[18:] == f"{d}/{m}/{y}" and (m, d, y) != ("12", "25", "1999")
+
+
 def test_digit_permutation_is_a_bijection(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = [r[0] for r in rows.select(pii.permute_digits(F.col("d"), F.lit("k"), "t")).collect()]
