@@ -265,7 +265,7 @@ def similar_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = keep(rows.join(sizes, "key").select("key", "sid", "n", many(F.col("size"), F.col("weight")).alias("parts")))
     shared = rows.select("sid").distinct()
     wanted = found.join(shared, "sid").groupBy("sid").agg(F.min(_order()).alias("first"))
-    sets = keep(_shingle_sets(docs, wanted.select("first.doc_id", "first.mark", "sid")))
+    sets = _shingle_sets(docs, keep(wanted.select("first.doc_id", "first.mark", "sid")))
 
     hot = rows.where("parts > 1")
     ends = hot.groupBy("key", "parts").agg(F.min("sid").alias("a"), F.max("sid").alias("b"))
