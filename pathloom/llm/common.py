@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.scratch import keep, spread  # noqa: F401
+from pathloom.scratch import forget, keep, spread  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of anything but the six ASCII white-space characters.
@@ -42,6 +42,33 @@ def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """Column names that none of ``taken`` has (in any case), made from ``names``."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with over this share of all rows is hot; there are at most 1 / HOT of these.
+HOT = 0.001
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and, in ``size``, how many of ``rows`` have that key.
+
+    Hot keys are joined by broadcast (at most ``1 / HOT`` rows, whatever the input), so that none meets in one task; the
+    rest by shuffle. Null keys are dropped. Both sides are read twice: give kept tables."""
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = table.where(F.col(size) > max(1.0, HOT * total))
+    few = F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(size) <= max(1.0, HOT * total)), keys)
+    return cold.unionByName(rows.join(few, keys))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """``docs`` that have a non-null label, with column ``y`` (of repeated labels the largest)."""
     one = labels.where(F.col(name).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(name).cast("int").alias("y"))

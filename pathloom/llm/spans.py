@@ -1,21 +1,26 @@
 """Remove every byte covered by a ``LENGTH``-byte string that starts more than once in the corpus. Exact.
 
-A suffix array of every byte position takes eight bytes for each byte of text before anything is sorted. This index keeps
-suffixes at *anchors* only: of the ``GRAM``-byte strings in a window of ``LENGTH`` bytes the one with the least hash
-(leftmost if equal). Equal windows have equal anchors at equal places, so two windows can only be equal where their
-anchors are, and one anchor serves a run of windows (about 75). A run is kept as one row: its anchor's hash, the hash of
-all the bytes its windows cover, and where it stands.
-
-1. Runs whose anchor stands once are done: nothing in them repeats.
-2. Where all runs of an anchor cover equal bytes, and among the others where two runs do, every window of them repeats.
-3. What is left are runs that share an anchor but not all bytes (the edges of a passage, the edits of a near copy). Of
-   each class of equal runs one is read again and its windows are cut into parts of ``STEP`` by their distance to the
-   anchor. All windows of a part share a core of bytes, so a part whose core stands once is done; parts that equal
-   another part repeat as a whole.
-4. Only parts with a shared core and no equal are compared window by window, by hash, one row each.
-
-Counts are combined before each shuffle and no group of equal strings is ever gathered, so a passage that stands in a
-third of all documents costs one row for each place it stands.
+The index is a logarithmic family of sparse suffix arrays. A suffix array of every byte position takes eight bytes for
+each byte of text before anything is sorted, so suffixes are kept at *anchors* only: of the ``GRAM``-byte strings in a
+window of ``LENGTH`` bytes the one with the least hash (leftmost if equal). Equal windows have equal anchors at equal
+places, so two windows can only be equal where their anchors are, and one anchor serves a run of windows (about 75). An
+array is sorted by the hash of the suffix's first ``GRAM`` bytes (equality is all that is asked of the order); an entry
+has that hash, how often it stands, and the least and greatest hash of what its runs cover.
+
+1. Documents come in batches. A batch's suffix array is merge-scanned against every level: entries in both are *shared*
+   anchors, and so are those that stand twice in the batch. Then it becomes a level itself, and while the last two levels
+   are of equal size they merge into one of twice the size, so n batches leave log n levels and an entry is rewritten
+   log n times.
+2. Runs without a shared anchor are done: nothing in them repeats. Where all runs of an anchor cover equal bytes, and
+   among the others where two runs do, every window of them repeats.
+3. What is left are classes of runs that share an anchor but not all bytes (the edges of a passage, the edits of a near
+   copy). Of each class the covered bytes of one run are read again; the classes of an anchor meet and their windows are
+   compared by anchor and window hash: 128 bits. An anchor of over ``LOCAL`` classes does not meet in one task: its windows
+   become rows, counted by aggregation.
+
+Counts are combined before each shuffle, hot anchors and classes are joined by a broadcast of at most a thousand keys, and
+no group of equal strings is ever gathered, so a passage that stands in a third of all documents costs one row for each
+place it stands.
 """
 
 from __future__ import annotations
@@ -28,10 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded, keep, same, spread
+from pathloom.llm.common import bounded, forget, keep, lookup, same, spread
 from pathloom.llm.rolling import Rolling, mix
 
-LENGTH, GRAM, STEP, CHUNK = 200, 48, 16, 1_000_000
+LENGTH, GRAM, CHUNK = 200, 48, 1_000_000
+#: Batches that a table is dealt into, at least; bytes of text in a batch, at most.
+BATCHES, BATCH_BYTES = 3, 1 << 40
+#: Classes of an anchor up to which they are compared in one task; representatives up to which their list is broadcast.
+LOCAL, LISTED = 8192, 200_000
 WIDTH = LENGTH - GRAM + 1  # anchors to choose from; up to 256
 _LOW = np.uint64(255)
 
@@ -87,6 +96,7 @@ def _bytes(text: str | None) -> bytes:
 
 def _runs(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "mark", "batch", "ah", "ch", "lo", "n"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -94,89 +104,159 @@ def _runs(docs: DataFrame) -> DataFrame:
             for a, z in batches([len(t) for t in texts]):
                 got = runs_of(texts[a:z])
                 rows = got.pop("text").to_numpy() + a
-                yield got.assign(doc_id=part["doc_id"].to_numpy()[rows], mark=part["mark"].to_numpy()[rows])[["doc_id", "mark", "ah", "ch", "lo", "n"]]
-
-    return spread(docs).mapInPandas(run, f"doc_id {kind}, mark long, ah long, ch long, lo int, n int")
-
-
-def _spread_out(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... of each, ``size`` of them."""
-    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
-def parts_of(data: bytes, lo: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs (``lo`` and ``n`` of ``runs_of``) cut into parts: run number, first window, windows, core, full (0 if cut short by the run's end)."""
-    roll = Rolling(np.frombuffer(data, dtype=np.uint8))
-    n, far = code & 255, code >> 8
-    low, many = (far - n + 1) // STEP, far // STEP - (far - n + 1) // STEP + 1
-    run, j = np.repeat(np.arange(len(lo)), many), _spread_out(low, many)
-    top = (lo + far)[run] - j * STEP
-    first, last = np.maximum(lo[run], top - STEP + 1), np.minimum((lo + n - 1)[run], top)
-    tag = mix(j.astype(np.uint64) + np.uint64(1))
-    core = roll.at(top, top + LENGTH - STEP + 1) ^ tag
-    full = np.where(last - first + 1 == STEP, roll.at(first, last + LENGTH) ^ tag, np.uint64(0))
-    return run, first, last - first + 1, core.view(np.int64), full.view(np.int64)
-
-
-def _parts(rows: DataFrame) -> DataFrame:
-    """The parts of the listed runs: doc_id, mark, lo, n, lone, core, full."""
+                yield got.assign(**{c: part[c].to_numpy()[rows] for c in ("doc_id", "mark", "batch")})[names]
+
+    return spread(docs).mapInPandas(run, f"doc_id {kind}, mark long, batch int, ah long, ch long, lo int, n int")
+
+
+class SpanIndex:
+    """Levels of sorted anchors, each twice as large as the next; ``add`` scans and stores one batch of runs."""
+
+    def __init__(self):
+        self.levels: list[tuple[int, DataFrame]] = []
+        self.found: list[DataFrame] = []
+
+    def _entries(self, runs: DataFrame) -> DataFrame:
+        return runs.groupBy("ah").agg(F.sum("places").alias("places"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).sortWithinPartitions("ah")
+
+    def add(self, runs: DataFrame) -> DataFrame:
+        """Store the runs ``(ah, ch)`` of a batch; return the anchors it shares with itself or with what was there."""
+        new = keep(self._entries(runs.select("ah", F.lit(1).cast("long").alias("places"), F.col("ch").alias("c0"), F.col("ch").alias("c1"))))
+        shared = new.where("places > 1")
+        for _, level in self.levels:
+            both = new.alias("x").hint("merge").join(level.alias("y"), F.col("x.ah") == F.col("y.ah"))
+            shared = shared.unionByName(both.select("x.ah", F.expr("x.places + y.places").alias("places"), F.least("x.c0", "y.c0").alias("c0"), F.greatest("x.c1", "y.c1").alias("c1")))
+        self.found.append(keep(self._entries(shared)))
+        size = 1
+        while self.levels and self.levels[-1][0] == size:
+            _, old = self.levels.pop()
+            merged = keep(self._entries(old.unionByName(new)))
+            forget(old)
+            forget(new)
+            new, size = merged, 2 * size
+        self.levels.append((size, new))
+        return self.found[-1]
+
+    def anchors(self) -> DataFrame:
+        """ah, places, mixed: every anchor that stands twice, and whether its runs cover different bytes. ``places`` may count
+        a place again for each later batch that met it."""
+        every = self.found[0]
+        for more in self.found[1:]:
+            every = every.unionByName(more)
+        return self._entries(every).select("ah", "places", (F.col("c0") != F.col("c1")).alias("mixed"))
+
+
+def _covered(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The bytes that the listed runs cover: ah, many, lone, doc_id, mark, lo, b. A repeated document gives them repeatedly."""
     kind = dict(rows.dtypes)["doc_id"]
+    listed = keep(rows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("ah", "many", "lone", "lo", "n")).alias("runs")))
+    few = rows.count() <= LISTED
+    listed = F.broadcast(listed) if few else listed.hint("shuffle_hash")
+    if few:
+        again = docs
+    else:
+        named = bounded(listed.select("doc_id", "mark"))
+        again = docs.join(named, same(docs, named, "doc_id", "mark"), "left_semi")
+    both = again.join(listed, same(again, listed, "doc_id", "mark")).select(again["doc_id"], again["mark"], "text", "runs")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for doc, mark, text, listed in part[["doc_id", "mark", "text", "runs"]].itertuples(index=False):
-                at, lo, n, core, full = parts_of(_bytes(text), np.array([r["lo"] for r in listed]), np.array([r["n"] for r in listed]))
-                yield pd.DataFrame({"doc_id": doc, "mark": mark, "lo": lo, "n": n, "lone": np.array([r["lone"] for r in listed])[at], "core": core, "full": full})
-
-    return rows.mapInPandas(run, f"doc_id {kind}, mark long, lo int, n int, lone boolean, core long, full long")
-
-
-def _windows(rows: DataFrame) -> DataFrame:
-    """Each window of the listed parts: doc_id, mark, lo, lone, wh."""
+            out = []
+            for doc, mark, text, runs in zip(part["doc_id"], part["mark"], part["text"], part["runs"], strict=True):
+                data = _bytes(text)
+                out += [(r["ah"], r["many"], r["lone"], doc, mark, r["lo"], data[r["lo"] : r["lo"] + (r["n"] & 255) + LENGTH - 1]) for r in runs]
+            yield pd.DataFrame(out, columns=["ah", "many", "lone", "doc_id", "mark", "lo", "b"])
+
+    return both.mapInPandas(run, f"ah long, many long, lone boolean, doc_id {kind}, mark long, lo int, b binary")
+
+
+def windows_in(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of the byte strings: string number, place in it, hash."""
+    size = np.array([len(x) for x in rows], dtype=np.int64)
+    n = size - LENGTH + 1
+    who = np.repeat(np.arange(len(rows)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[who] + place
+    return who, place, Rolling(np.frombuffer(b"".join(rows), dtype=np.uint8)).at(at, at + LENGTH)
+
+
+def repeated_in(group: np.ndarray, lone: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of lone strings that another string of the same group has: string number, first window, windows."""
+    who, place, wh = windows_in(rows)
+    key = wh ^ mix(group[who].view(np.uint64))
+    order = np.argsort(key, kind="stable")
+    pair = (np.diff(key[order]) == 0) & (np.diff(group[who[order]]) == 0) if len(order) else np.zeros(0, bool)
+    hit = np.zeros(len(who) + 1, dtype=bool)
+    hit[order[:-1][pair]] = hit[order[1:][pair]] = True
+    hit[:-1] &= lone[who]
+    begin = np.flatnonzero(hit[:-1] & ((place == 0) | ~np.append(False, hit[:-2])))
+    last = np.flatnonzero(hit[:-1] & (~hit[1:] | np.append(place[1:] == 0, True)))
+    return who[begin], place[begin], last - begin + 1
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """doc_id, mark, lo, n of the repeated windows of lone classes; the classes of an anchor meet in one task."""
     kind = dict(rows.dtypes)["doc_id"]
 
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part[~part.duplicated(["ah", "doc_id", "mark", "lo"])]
+        who, first, n = repeated_in(part["ah"].to_numpy(), part["lone"].to_numpy(dtype=bool), part["b"].tolist())
+        return pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[who], "mark": part["mark"].to_numpy()[who], "lo": part["lo"].to_numpy()[who] + first, "n": n})
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
         for part in parts:
-            for doc, mark, text, listed in part[["doc_id", "mark", "text", "runs"]].itertuples(index=False):
-                n = np.array([r["n"] for r in listed])
-                lo = _spread_out(np.array([r["lo"] for r in listed]), n)
-                wh = Rolling(np.frombuffer(_bytes(text), dtype=np.uint8)).at(lo, lo + LENGTH)
-                yield pd.DataFrame({"doc_id": doc, "mark": mark, "lo": lo, "lone": np.repeat([r["lone"] for r in listed], n), "wh": wh.view(np.int64)})
+            part = part if left is None else pd.concat([left, part], ignore_index=True)
+            whole = part["ah"].to_numpy() != part["ah"].iloc[-1]  # the last group may go on
+            left = part[~whole]
+            if whole.any():
+                yield judge(part[whole])
+        if left is not None:
+            yield judge(left)
 
-    return rows.mapInPandas(run, f"doc_id {kind}, mark long, lo int, lone boolean, wh long")
+    return rows.drop("many").repartition("ah").sortWithinPartitions("ah").mapInPandas(run, f"doc_id {kind}, mark long, lo int, n int")
 
 
-def _read_again(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, mark, text and the list ``runs(lo, n, lone)`` of the documents that ``rows`` name, one row for each."""
-    listed = keep(rows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "n", "lone")).alias("runs")))
-    few = bounded(listed.select("doc_id", "mark"))
-    again = docs.join(few, same(docs, few, "doc_id", "mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
-    listed = listed.hint("shuffle_hash")
-    return again.join(listed, same(again, listed, "doc_id", "mark")).select(again["doc_id"], again["mark"], "text", "runs")
-
+def _counted(rows: DataFrame) -> DataFrame:
+    """As ``_compared``, for anchors of any number of classes: windows as rows."""
+    kind = dict(rows.dtypes)["doc_id"]
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, lo, n): windows lo to lo + n - 1 of the document repeat. ``docs`` has doc_id, text, mark."""
-    runs = _runs(docs)
-    anchors = runs.groupBy("ah").agg(F.count("*").alias("places"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).where("places > 1").select("ah", (F.col("c0") != F.col("c1")).alias("mixed"))
-    shared = keep(runs.join(anchors, "ah"))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for a, z in batches([len(b) for b in part["b"]]):
+                some = part.iloc[a:z]
+                who, place, wh = windows_in(some["b"].tolist())
+                cols = {c: some[c].to_numpy()[who] for c in ("ah", "lone", "doc_id", "mark")}
+                yield pd.DataFrame(cols | {"lo": some["lo"].to_numpy()[who] + place, "wh": wh.view(np.int64)})
+
+    windows = rows.drop("many").dropDuplicates(["ah", "doc_id", "mark", "lo"]).mapInPandas(run, f"ah long, lone boolean, doc_id {kind}, mark long, lo int, wh long")
+    windows = keep(windows)
+    twice = keep(windows.groupBy("ah", "wh").agg(F.count("*").alias("k"), F.max("lone").alias("lone")).where("k > 1 and lone").drop("lone"))
+    return lookup(windows.where("lone").drop("lone"), twice, ["ah", "wh"], "k").select("doc_id", "mark", "lo", F.lit(1).alias("n"))
+
+
+def repeats(docs: DataFrame, parts: int = BATCHES) -> DataFrame:
+    """(doc_id, mark, lo, n): windows lo to lo + n - 1 of the document repeat. ``docs`` has doc_id, text, mark.
+
+    The table is dealt into ``parts`` batches that the index takes one after the other; the result does not depend on them."""
+    runs = keep(_runs(docs.select("doc_id", "mark", F.pmod(F.xxhash64("mark"), F.lit(parts)).cast("int").alias("batch"), "text")))
+    index = SpanIndex()
+    for k in range(parts):
+        index.add(runs.where(F.col("batch") == k))
+    shared = keep(lookup(runs.drop("batch"), keep(index.anchors()), ["ah"], "places"))
+    forget(runs)
+    for _, level in index.levels:
+        forget(level)
     mixed = shared.where("mixed")
     one = F.min(F.struct("doc_id", "mark", "lo", "n")).alias("one")
     classes = keep(mixed.groupBy("ah", "ch").agg(F.count("*").alias("size"), one))
-    twins = mixed.join(classes.where("size > 1").select("ah", "ch"), ["ah", "ch"])
-    open_ = classes.groupBy("ah").agg(F.min("size").alias("least")).where("least = 1").select("ah")
-    parts = keep(_parts(_read_again(docs, classes.join(open_, "ah").select("one.*", (F.col("size") == 1).alias("lone")))))
-    key = F.when(F.col("full") != 0, F.col("full")).otherwise(F.xxhash64("doc_id", "mark", "lo")).alias("key")
-    groups = keep(parts.select("*", key).groupBy("core", "key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "mark", "lo", "n", "lone")).alias("one")))
-    wholes = parts.where("lone and full <> 0").join(groups.where("size > 1").select("core", F.col("key").alias("full")), ["core", "full"])
-    alone = (F.col("size") == 1) & F.col("one.lone")
-    cores = groups.groupBy("core").agg(F.count("*").alias("sorts"), F.max(alone).alias("open")).where("sorts > 1 and open").select("core")
-    rest = groups.join(cores, "core").select("one.doc_id", "one.mark", "one.lo", "one.n", alone.alias("lone"))
-    windows = keep(_windows(_read_again(docs, rest)))
-    twice = windows.groupBy("wh").agg(F.count("*").alias("k")).where("k > 1").select("wh")
-    edges = windows.where("lone").join(twice, "wh").select("doc_id", "mark", "lo", F.lit(1).alias("n"))
+    twins = lookup(mixed, classes.where("size > 1").select("ah", "ch", "size"), ["ah", "ch"], "size")
+    open_ = keep(classes.groupBy("ah").agg(F.min("size").alias("least"), F.count("*").alias("many")).where("least = 1").select("ah", "many"))
+    rows = keep(_covered(docs, keep(lookup(classes, open_, ["ah"], "many").select("ah", "many", "one.*", (F.col("size") == 1).alias("lone")))))
     named = lambda df, n="n": df.select("doc_id", "mark", "lo", F.expr(n).cast("int").alias("n"))
-    return named(shared.where("not mixed"), "n & 255").unionByName(named(twins, "n & 255")).unionByName(named(wholes)).unionByName(edges)
+    out = named(shared.where("not mixed"), "n & 255").unionByName(named(twins, "n & 255")).unionByName(named(_compared(rows.where(F.col("many") <= LOCAL))))
+    large = rows.where(F.col("many") > LOCAL)
+    return out if large.isEmpty() else out.unionByName(named(_counted(large)))
 
 
 def cut(data: bytes, spans) -> tuple[bytes, int]:
@@ -191,9 +271,15 @@ def cut(data: bytes, spans) -> tuple[bytes, int]:
     return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
 
 
+def _batches(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(BATCHES, -(-size // BATCH_BYTES))
+
+
 def _joined(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    found = repeats(marked).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("spans")).hint("shuffle_hash")
+    # rows that repeat a document have the same spans: a set, so that their number is of no account
+    found = keep(repeats(marked, _batches(docs)).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))).hint("shuffle_hash")
     return marked.join(found, same(marked, found, "doc_id", "mark"), "left").select(marked["doc_id"], "text", "spans")
 
 

@@ -110,6 +110,27 @@ def test_repeated_spans_against_brute_force(spark, corpus):
     assert kept == {200: ""}
 
 
+@pytest.mark.parametrize(("batches", "local", "listed"), [(1, 8192, 200_000), (6, 0, 0)])
+def test_repeated_spans_by_any_batches(spark, monkeypatch, batches, local, listed):
+    """Levels that merge, anchors with too many classes for one task, and lists that are not broadcast give the same."""
+    monkeypatch.setattr(spans, "BATCHES", batches)
+    monkeypatch.setattr(spans, "LOCAL", local)
+    monkeypatch.setattr(spans, "LISTED", listed)
+    rng = random.Random(3)
+    base = prose(rng, 150)
+    rows = [(i, prose(rng, 60), "n") for i in range(10)] + [(20 + i, base[: 90 * i] + "X" + base[90 * i + 1 :], "n") for i in range(8)] + [(None, base, "n"), (None, base, "n"), (40, "z" * 700, "n"), (41, None, "n")]
+    assert rows_of(spans.repeated_spans(frame(spark, rows))) == brute_spans(rows, spans.LENGTH)
+
+
+def test_levels_double(spark):
+    index = spans.SpanIndex()
+    for k in range(7):
+        shared = index.add(spark.createDataFrame([(k, 1), (100, k), (200 + k // 2, 5)], "ah long, ch long"))
+        assert {r.ah for r in shared.collect()} == ({100} if k else set()) | ({200 + k // 2} if k % 2 else set())
+        assert [n for n, _ in index.levels] == [2**b for b in (2, 1, 0) if (k + 1) >> b & 1]
+    assert {(r.ah, r.mixed) for r in index.anchors().collect()} == {(100, True), (200, False), (201, False), (202, False)}
+
+
 def test_simhash_fingerprint_and_links(spark, corpus):
     def fingerprint(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
