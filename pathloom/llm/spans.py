@@ -40,7 +40,7 @@ LENGTH, GRAM, CHUNK = 200, 48, 1_000_000
 #: Batches that a table is dealt into, at least; bytes of text in a batch, at most.
 BATCHES, BATCH_BYTES = 3, 1 << 40
 #: Classes of an anchor up to which they are compared in one task; representatives up to which their list is broadcast.
-LOCAL, LISTED = 8192, 200_000
+LOCAL, LISTED = 1024, 200_000
 WIDTH = LENGTH - GRAM + 1  # anchors to choose from; up to 256
 _LOW = np.uint64(255)
 
