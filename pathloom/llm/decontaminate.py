@@ -10,7 +10,7 @@ has *all* of its shingles, so the necessary prefix is one shingle: the rarest.
    length and position bounds (0 <= start, start + length <= words) prune.
 3. Documents with candidates are read again and each window is compared word by word at its start.
 
-The benchmark is broadcast only after a count; a window that occurs in a third of all documents gives a row for each
+The benchmark's shingles are broadcast in shares of ``SHARE``; a window that occurs in a third of all documents gives a row for each
 occurrence, never a pair of documents.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import bounded, keep, same
 
 WINDOW, SHINGLE = 10, 3
+#: Shingles of the benchmark that are broadcast at once, about.
+SHARE = 2_000_000
 #: ASCII letters and digits, and whatever is beyond ASCII, make words; A-Z are lower-cased, the rest becomes spaces.
 _OTHER = "".join(c for c in map(chr, range(128)) if not (c.isdigit() or c.islower()))
 _FOLDED = "".join(c.lower() if c.isalpha() else " " for c in _OTHER)
@@ -71,14 +73,17 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         choose = F.when(F.col("q") == n, _shingles(F.col("w"), n)).otherwise(choose)
     parts = keep(parts.select("win", "len", "q", F.posexplode(choose).alias("at", "sh")))
     spark = docs.sparkSession
-    known = bounded(parts.select("q", "sh").unionByName(spark.createDataFrame([(0, DOCUMENT)], "q int, sh long")).distinct())
+    known = keep(parts.select("q", "sh").unionByName(spark.createDataFrame([(0, DOCUMENT)], "q int, sh long")).distinct())
+    shares = max(1, -(-known.count() // SHARE))  # a large benchmark is met share by share, so that no shingle of a document is shuffled
     words = docs.select("doc_id", mark, F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("w"))
     found = None
     for n in sizes:
         every = _shingles(F.col("w"), n) if found is not None else F.concat(_shingles(F.col("w"), n), F.array(F.lit(DOCUMENT)))
         each = words.select("doc_id", "mark", F.size("w").alias("n"), F.posexplode(every).alias("pos", "sh"))
-        got = each.join(known.where(F.col("q").isin(n, 0)), "sh")
-        found = got if found is None else found.unionByName(got)
+        for k in range(shares):
+            share = known.where(F.col("q").isin(n, 0)).where(F.pmod("sh", F.lit(shares)) == k)
+            got = each.join(F.broadcast(share), "sh")
+            found = got if found is None else found.unionByName(got)
     none = F.sha2(F.lit(""), 256)
     if found is None:
         counted = words.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"))

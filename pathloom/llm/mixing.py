@@ -9,7 +9,9 @@
 4. A source's n-th slot takes block perm(n mod blocks), perm being a keyed Feistel permutation, another for each epoch.
 5. Slots and documents meet in a join on (source, block).
 
-Only sizes, never texts, take part in the plan (1 to 5); one row per source reaches the driver (``MAX_SOURCES``).
+Only sizes, never texts, take part in the plan (1 to 5): texts are read once more, for the join with the stretches that the
+mix takes of them. One row per source reaches the driver and the workers. Rows that repeat a document are one row with a
+number of copies until each copy gets its own place.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import WORD, keep, spread
+from pathloom.llm.common import WORD, bounded, keep, same, spread
 
-MAX_SOURCES = 100_000
-BUCKETS = 4096
+#: Rows in a bucket of a source, about; buckets of a source, at least; copies that one task lists.
+BUCKET, BUCKETS, COPIES = 4096, 1024, 10_000
 
 
 @dataclass(frozen=True)
@@ -112,28 +114,48 @@ def _last_block_at(blocks: int, key: int) -> int:
             return x
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` drawn without replacement are among ``good``. Numpy draws up to 10**9; beyond, the same law exactly:
+    X ~ Bin(n, p) and Y ~ Bin(rest, p) given that X + Y = good. The pairs are drawn in batches until one fits."""
+    if not n or not good:
+        return 0
+    if not bad or n == good + bad:
+        return min(n, good)
+    if good < 1_000_000_000 and bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    return conditioned(good, bad, n, rng)
+
+
+def conditioned(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    p, size = good / (good + bad), 1024
+    while True:
+        x = rng.binomial(n, p, size)
+        fits = np.flatnonzero(x + rng.binomial(good + bad - n, p, size) == good)
+        if len(fits):
+            return int(x[fits[0]])
+        size = min(2 * size, 1 << 18)
+
+
 def _draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """Multivariate hypergeometric: how many of n slots go to each source. Beyond numpy's range, the normal limit."""
+    """Multivariate hypergeometric: how many of n slots go to each source."""
     out, rest = np.zeros_like(counts), int(counts.sum())
     for i, c in enumerate(counts.tolist()):
         rest -= c
-        if rest + c < 1_000_000_000:
-            x = int(rng.hypergeometric(c, rest, n)) if n else 0
-        else:
-            p = n / (rest + c)
-            x = round(rng.normal(c * p, (c * p * (1 - p) * rest / (rest + c)) ** 0.5))
-            x = min(max(x, n - rest, 0), c, n)
-        out[i], n = x, n - x
+        out[i] = hypergeometric(c, rest, n, rng)
+        n -= int(out[i])
     return out
 
 
-def shard_counts(slots: np.ndarray, shard: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of shard ``k``: each source's slots, and how many it has in earlier shards."""
+def shard_counts(slots: np.ndarray, shard: int, k: int, seed: int, drawn: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of shard ``k``: each source's slots, and how many it has in earlier shards. ``drawn`` keeps the draws on the way."""
+    drawn = {} if drawn is None else drawn
     counts, total = np.asarray(slots, dtype=np.int64), int(np.sum(slots))
     lo, hi, before = 0, -(-total // shard), np.zeros(len(slots), dtype=np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = _draw(counts, mid * shard - lo * shard, np.random.default_rng([seed, lo, hi]))
+        if (lo, hi) not in drawn:
+            drawn[lo, hi] = _draw(counts, mid * shard - lo * shard, np.random.default_rng([seed, lo, hi]))
+        left = drawn[lo, hi]
         if k < mid:
             counts, hi = left, mid
         else:
@@ -145,29 +167,39 @@ class Mix:
     """A plan for one corpus. Null sources form a source of their own (last), null texts have no words, equal rows are
     interchangeable and each has its own share; an empty table gives empty results. Other columns are left alone."""
 
-    def __init__(self, docs: DataFrame, weights=(3, 1, 2), share=1.5, cap=2.0, block=256, shard=1024, seed=17, with_text=False):
-        self.spark, self.block, self.shard, self.seed = docs.sparkSession, block, shard, seed
+    def __init__(self, docs: DataFrame, weights=(3, 1, 2), share=1.5, cap=2.0, block=256, shard=1024, seed=17):
+        self.docs, self.spark, self.block, self.shard, self.seed = docs, docs.sparkSession, block, shard, seed
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        mark = F.xxhash64("doc_id", "text")
-        sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), mark.alias("mark"), *(["text"] if with_text else []))
-        sized = keep(sized.select("doc_id", "source", "size", "mark")) if not with_text else keep(sized)
-        rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-        if len(rows) > MAX_SOURCES:
-            raise ValueError(f"over {MAX_SOURCES} sources")
-        rows.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+        sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("mark"))
+        sized = keep(sized.groupBy("doc_id", "source", "mark", "size").agg(F.count("*").alias("copies")))
+        sums = F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n"), F.max("copies").alias("copies")
+        rows = sized.groupBy("source").agg(*sums).collect()  # a row for each source
+        rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
+        self.most = max((r.copies for r in rows), default=1)
         goal = targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, cap)
         self.sources = [Source(r.source, r["size"], t, *_slots(r["size"], t, block, lambda e, i=i: _key(seed, i, e))) for i, (r, t) in enumerate(zip(rows, goal, strict=True))]
-        schema = "source_ix int, name string, source_size long, target double"
-        names = self.spark.createDataFrame([(i, s.name, s.size, float(s.target)) for i, s in enumerate(self.sources)], schema)
-        sized = sized.join(F.broadcast(names), sized["source"].eqNullSafe(names["name"])).drop("name")
-        sized = sized.withColumn("bucket", F.pmod(F.hash("mark"), F.lit(BUCKETS)))
-        before = sized.groupBy("source_ix", "bucket").agg(F.sum("size").alias("n"))
+        schema = "source_ix int, name string, source_size long, target double, buckets int"
+        names = [(i, s.name, s.size, float(s.target), max(BUCKETS, r.n // BUCKET)) for i, (s, r) in enumerate(zip(self.sources, rows, strict=True))]
+        names = bounded(self.spark.createDataFrame(names, schema))
+        sized = sized.join(names, sized["source"].eqNullSafe(names["name"])).drop("name")
+        sized = sized.withColumn("bucket", F.pmod(F.hash("mark"), F.col("buckets"))).withColumn("words", F.col("size") * F.col("copies"))
+        before = sized.groupBy("source_ix", "bucket").agg(F.sum("words").alias("n"))
         before = before.select("source_ix", "bucket", (F.sum("n").over(Window.partitionBy("source_ix").orderBy("bucket")) - F.col("n")).alias("base"))
-        inside = F.sum("size").over(Window.partitionBy("source_ix", "bucket").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        inside = F.sum("words").over(Window.partitionBy("source_ix", "bucket").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
         placed = sized.withColumn("inside", inside).join(before, ["source_ix", "bucket"])
         start = F.when(F.col("size") > 0, F.col("base") + F.col("inside"))
-        #: A row for each document; (source_ix, start) is unique where there are words.
-        self.placed = keep(placed.select("doc_id", "source", "size", "source_ix", "source_size", "target", start.alias("start"), *(["text"] if with_text else [])))
+        self.groups = keep(placed.select("doc_id", "source", "mark", "size", "copies", "source_ix", "source_size", "target", start.alias("start")))
+
+    def placed(self) -> DataFrame:
+        """A row for each document: copies stand one after the other; (source_ix, start) is unique where there are words."""
+        rows, last = self.groups, F.col("copies") - 1
+        if self.most > COPIES:  # no task lists all copies of one row
+            first = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long"))).alias("_first")
+            rows = rows.select("*", first).repartition(max(2, self.spark.sparkContext.defaultParallelism)).withColumn("_last", F.least(F.col("_first") + (COPIES - 1), last))
+        else:
+            rows = rows.withColumns({"_first": F.lit(0).cast("long"), "_last": last})
+        rows = rows.withColumn("_nth", F.explode(F.sequence("_first", "_last")))
+        return rows.withColumn("start", F.col("start") + F.col("_nth") * F.col("size")).drop("_first", "_last", "_nth", "copies")
 
     def slots(self) -> DataFrame:
         """Each slot of the output: shard, slot, source_ix, epoch, block, words."""
@@ -176,9 +208,12 @@ class Mix:
         schema = "shard long, slot int, source_ix int, epoch int, block long, words int"
 
         def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            drawn: dict = {}  # a task's shards follow each other: they share most of the way
             for part in parts:
                 for k in part["id"].tolist():
-                    mine, before = shard_counts(count, shard, k, seed)
+                    if len(drawn) > 10_000:
+                        drawn.clear()
+                    mine, before = shard_counts(count, shard, k, seed, drawn)
                     out = []
                     for i in np.flatnonzero(mine).tolist():
                         s, nth = sources[i], np.arange(before[i], before[i] + mine[i])
@@ -193,40 +228,49 @@ class Mix:
         shards = -(-int(count.sum()) // shard)
         return self.spark.range(0, shards, 1, max(1, min(shards, 4 * self.spark.sparkContext.defaultParallelism))).mapInPandas(deal, schema)
 
-    def pieces(self) -> DataFrame:
+    def pieces(self, *more: str) -> DataFrame:
         """Each stretch of a document in a block, once for each slot that takes it: ``at`` words into the document, ``n`` long."""
         b = self.block
-        docs = self.placed.where("size > 0").select("source_ix", "start", "size", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
-        docs = docs.select("source_ix", "start", "size", "block", F.greatest(F.col("start"), F.col("block") * b).alias("a"), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b).alias("z"))
+        docs = self.placed().where("size > 0").select("source_ix", "start", "size", *more, F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
+        docs = docs.select("source_ix", "start", *more, "block", F.greatest(F.col("start"), F.col("block") * b).alias("a"), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b).alias("z"))
         met = docs.join(self.slots().hint("merge"), ["source_ix", "block"])  # slots grow with the corpus: never broadcast
         end = F.least(F.col("z"), F.col("block") * b + F.col("words"))
-        return met.select("source_ix", "start", "shard", "slot", "epoch", "block", (F.col("a") - F.col("start")).alias("at"), (end - F.col("a")).alias("n")).where("n > 0")
+        return met.select("source_ix", "start", *more, "shard", "slot", "epoch", "block", (F.col("a") - F.col("start")).alias("at"), (end - F.col("a")).alias("n")).where("n > 0")
 
     def taken(self) -> DataFrame:
         """A row for each document: doc_id, size, source_size, target, taken."""
         got = self.pieces().groupBy("source_ix", "start").agg(F.sum("n").alias("taken"))
-        return self.placed.join(got, ["source_ix", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+        return self.placed().join(got, ["source_ix", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
     def texts(self) -> DataFrame:
-        """The mix itself: shard, slot, epoch, block, source, doc_id, at, n, and the words as text. Needs ``with_text``."""
-        cut = F.struct("shard", "slot", "epoch", "block", "at", "n")
-        lists = self.pieces().groupBy("source_ix", "start").agg(F.collect_list(cut).alias("cuts"))
-        docs = self.placed.where("size > 0").join(lists, ["source_ix", "start"]).select("doc_id", "source", "text", "cuts")
-        kind = dict(self.placed.dtypes)["doc_id"]
+        """The mix itself: shard, slot, epoch, block, source, doc_id, at, n, and the stretch as it stands in the text."""
+        cut, key = F.struct("shard", "slot", "epoch", "block", "at", "n"), ("doc_id", "mark", "source")
+        lists = self.pieces(*key).groupBy(*key, "source_ix", "start").agg(F.collect_list(cut).alias("cuts")).drop("source_ix", "start")
+        lists = keep(lists).hint("shuffle_hash")
+        docs = self.docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.col("source").cast("string").alias("source"), "text")
+        if self.most > 1:  # one text for all copies of a row
+            again = bounded(keep(self.groups.where("copies > 1").select(*key)))
+            once, more = (docs.join(again, same(docs, again, *key), how) for how in ("left_anti", "left_semi"))
+            docs = once.unionByName(more.dropDuplicates(list(key)))
+        met = docs.join(lists, same(docs, lists, *key)).select(docs["doc_id"], docs["source"], "text", "cuts")
+        kind = dict(docs.dtypes)["doc_id"]
         word = re.compile(WORD)
+        names = ["shard", "slot", "epoch", "block", "source", "doc_id", "at", "n", "text"]
 
         def cut_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                for doc, source, text, cuts in part.itertuples(index=False):
-                    words = word.findall(text)
-                    yield pd.DataFrame([(c["shard"], c["slot"], c["epoch"], c["block"], source, doc, c["at"], c["n"], " ".join(words[c["at"] : c["at"] + c["n"]])) for c in cuts], columns=["shard", "slot", "epoch", "block", "source", "doc_id", "at", "n", "text"])
+                out = []
+                for doc, source, text, cuts in zip(part["doc_id"], part["source"], part["text"], part["cuts"], strict=True):
+                    spans = [m.span() for m in word.finditer(text)]
+                    out += [(c["shard"], c["slot"], c["epoch"], c["block"], source, doc, c["at"], c["n"], text[spans[c["at"]][0] : spans[c["at"] + c["n"] - 1][1]]) for c in cuts]
+                yield pd.DataFrame(out, columns=names)
 
-        return docs.mapInPandas(cut_up, f"shard long, slot int, epoch int, block long, source string, doc_id {kind}, at long, n long, text string")
+        return met.mapInPandas(cut_up, f"shard long, slot int, epoch int, block long, source string, doc_id {kind}, at long, n long, text string")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus of ``docs(doc_id, text, source)``, a row for each stretch of a document in a slot."""
-    return Mix(spread(docs), with_text=True, **options).texts()
+    return Mix(spread(docs), **options).texts()
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:

@@ -4,7 +4,7 @@ Numbers and dates are permuted by a Feistel network over their own domain, keyed
 itself across documents and the text keeps its shape:
 
 * payment cards (13 to 19 digits in groups of any size with single separators, Luhn-valid): first digit kept, the rest permuted, check digit recomputed;
-* US social security numbers (valid area, group, serial): the nine digits permuted;
+* US social security numbers (valid area, group, serial): permuted within the valid ones;
 * phone numbers with an area code of three digits, and those of 8 to 15 digits that begin with + and a country code: all
   digits after the country code permuted, separators kept;
 * IPv4 addresses (octets up to 255): the 32 bits permuted;
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import spread
+from pathloom.llm.common import fresh, spread
 
 KINDS = ("secret", "email", "ip", "date", "ssn", "phone", "card")
 ROUNDS, KEY_CONF, BASE_DAY = 8, "spark.pathloom.pii.key", "1800-01-01"
@@ -82,6 +82,14 @@ def permute_digits(digits: Column, key: Column, tweak) -> Column:
     return let(moved, lambda out: F.concat(F.lpad(out["a"].cast("string"), left, F.lit("0")), F.lpad(out["b"].cast("string"), right, F.lit("0"))))
 
 
+def _other_ssn(digits: Column, key: Column) -> Column:
+    """Another valid number: areas 001 to 899 but 666, groups from 01, serials from 0001."""
+    area, rest = F.substring(digits, 1, 3).cast("long"), F.substring(digits, 4, 2).cast("long") * 9999 + F.substring(digits, 6, 4).cast("long") - 10_000
+    moved = _feistel(area - F.when(area > 666, F.lit(2)).otherwise(F.lit(1)), rest, F.lit(898), F.lit(99 * 9999), key, "ssn")
+    pad = lambda x, n: F.lpad(x.cast("int").cast("string"), n, "0")
+    return let(moved, lambda x: F.concat(pad(x["a"] + F.when(x["a"] >= 665, F.lit(2)).otherwise(F.lit(1)), 3), pad(F.floor(x["b"] / 9999) + 1, 2), pad(x["b"] % 9999 + 1, 4)))
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo ten."""
 
@@ -189,30 +197,48 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     hidden = F.sha2(F.concat_ws("|", key, F.lit("secret"), F.regexp_replace(value, "[\"']$", "")), 256)
     secret = F.when(name == "AKIA", F.concat(name, F.upper(F.substring(hidden, 1, 16)))).otherwise(F.concat(name, F.substring(hidden, F.lit(1), F.least(F.lit(64), F.length(value) - F.length(quote))), quote))
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@masked.example"))
-    forms = {"email": email, "secret": secret, "ip": let(ip, lambda x: F.concat_ws(".", half(x["a"]), half(x["b"]))), "date": date, "ssn": _refill(m, let(digits, lambda x: permute_digits(x, key, "ssn"))), "phone": F.concat(code, _refill(rest, let(_digits(rest), lambda x: permute_digits(x, key, "phone")))), "card": card}
+    forms = {"email": email, "secret": secret, "ip": let(ip, lambda x: F.concat_ws(".", half(x["a"]), half(x["b"]))), "date": date, "ssn": _refill(m, let(digits, lambda x: _other_ssn(x, key))), "phone": F.concat(code, _refill(rest, let(_digits(rest), lambda x: permute_digits(x, key, "phone")))), "card": card}
     return reduce(lambda out, k: F.when(kind == k, forms[k]).otherwise(out), reversed(KINDS), m)
 
 
+def key_of(docs: DataFrame, key: str | None = None) -> str:
+    """The argument, else ``spark.pathloom.pii.key`` of the session; without a key pseudonyms could be undone by anyone, so none is an error."""
+    found = key or docs.sparkSession.conf.get(KEY_CONF, None)
+    if not found:
+        raise ValueError(f"no key: give one or set {KEY_CONF}")
+    return found
+
+
+def _rewritten(docs: DataFrame, key: str | None, names: tuple[str, str]) -> DataFrame:
+    """``docs`` with text rewritten in place and two more columns, the kinds found and their number, called ``names``."""
+    secret = F.lit(key_of(docs, key))
+    m, h, p, s = fresh([*docs.columns, *names], "_matches", "_kinds", "_pieces", "_swapped")
+    matches = F.when(F.regexp_like("text", F.lit(HINT)), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    hits = F.transform(m, lambda x: F.struct(x.alias("m"), kind_of(x).alias("kind")))
+    out = docs.withColumn(m, F.coalesce(matches, F.array().cast("array<string>"))).withColumn(h, hits)
+    swapped = F.transform(h, lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["kind"], secret)))
+    rewritten = F.concat(F.get(p, F.lit(0)), F.array_join(F.zip_with(s, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), ""))
+    out = out.withColumn(names[0], F.transform(F.filter(h, lambda x: x["kind"].isNotNull()), lambda x: x["kind"]))
+    some = F.size(names[0]) > 0
+    out = out.withColumn(p, F.when(some, F.split("text", PATTERN, -1))).withColumn(s, F.when(some, swapped))
+    out = out.withColumn("text", F.when(some, rewritten).otherwise(F.col("text"))).withColumn(names[1], F.size(names[0]).cast("long"))
+    return out.select(*[f"`{c}`" for c in docs.columns], *names)
+
+
 def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """All columns of ``docs``, ``text`` rewritten, and ``found``: the kinds found, in order (``n_found`` of them).
 
-    The key is the argument, else ``spark.pathloom.pii.key`` of the session, else a fixed test key. A null text stays null
-    with nothing found; repeated rows are treated alike. Columns named found or n_found are replaced.
+    For the key see ``key_of``. A null text stays null with nothing found; repeated rows are treated alike. Columns of
+    ``docs`` named found or n_found are replaced; any other name is the user's and comes through as it is.
     """
-    secret = F.lit(key or docs.sparkSession.conf.get(KEY_CONF, "test key, not for production"))
-    matches = F.when(F.regexp_like("text", F.lit(HINT)), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    hits = F.transform("_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    out = docs.withColumn("_m", F.coalesce(matches, F.array().cast("array<string>"))).withColumn("_h", hits)
-    pieces = F.split("text", PATTERN, -1)
-    swapped = F.transform("_h", lambda h: F.when(h["kind"].isNull(), h["m"]).otherwise(pseudonym(h["m"], h["kind"], secret)))
-    rewritten = F.concat(F.get("_p", F.lit(0)), F.array_join(F.zip_with("_s", F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda s, p: F.concat(s, F.coalesce(p, F.lit("")))), ""))
-    found = F.transform(F.filter("_h", lambda h: h["kind"].isNotNull()), lambda h: h["kind"])
-    any_found = F.size("found") > 0
-    out = out.withColumn("found", found).withColumn("_p", F.when(any_found, pieces)).withColumn("_s", F.when(any_found, swapped))
-    out = out.withColumn("text", F.when(any_found, rewritten).otherwise(F.col("text"))).withColumn("n_found", F.size("found").cast("long"))
-    return out.select(*[c for c in docs.columns if c not in ("found", "n_found")], "found", "n_found")
-
-
-def pseudonym_report(docs: DataFrame) -> DataFrame:
+    return _rewritten(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("found", "n_found")]), key, ("found", "n_found"))
+
+
+def rewrite(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """The columns of ``docs``, all of them, with ``text`` rewritten."""
+    return _rewritten(docs, key, tuple(fresh(docs.columns, "found", "n_found"))).select(*[f"`{c}`" for c in docs.columns])
+
+
+def pseudonym_report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, n_found, found (kinds, comma-joined), text."""
-    return pseudonymise(spread(docs.select("doc_id", "text"))).select("doc_id", "n_found", F.array_join("found", ",").alias("found"), "text")
+    return pseudonymise(spread(docs.select("doc_id", "text")), key).select("doc_id", "n_found", F.array_join("found", ",").alias("found"), "text")

@@ -10,6 +10,10 @@ from pathloom.llm import decontaminate, langid, mixing, oracle, pii, quality, se
 from pathloom.llm.common import table
 
 
+#: Pseudonymises the registered queries of a session that sets no key of its own. It is public, so it protects nothing.
+QUERY_KEY = "key of the registered queries"
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonym_report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pii.pseudonym_report(docs, spark.conf.get(pii.KEY_CONF, None) or QUERY_KEY)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

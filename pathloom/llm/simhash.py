@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded, keep, same, spread
+from pathloom.llm.common import bounded, keep, lookup, same, spread
 from pathloom.operators.components import connected_components
 
 D, LEAF, NODE, WORDS = 2, 32, 2048, 3
@@ -146,13 +146,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def _grouped(found: DataFrame, linked: DataFrame) -> DataFrame:
     """doc_id, fp, component_id from ``found(doc_id, fp)`` and links between its codes."""
-    first = keep(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = keep(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")))
     roots = connected_components(linked)
     members = roots.join(first, roots["id"] == first["fp"]).select("fp", "root", "first")
     lowest = members.groupBy("root").agg(F.min("first").alias("lowest"))
     moved = members.join(lowest, "root").select("fp", "lowest")
-    named = first.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = keep(first.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), "size"))
+    return lookup(found, named, ["fp"], "size").select("doc_id", "fp", "component_id")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -305,10 +305,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = keep(sketches(docs))
     roots = connected_components(similar_links(docs, found))
-    first = found.groupBy("sid").agg(F.min(_order()).alias("first"))
-    named = keep(first.join(roots, first["sid"] == roots["id"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "first"))
+    first = found.groupBy("sid").agg(F.min(_order()).alias("first"), F.count("*").alias("size"))
+    named = keep(first.join(roots, first["sid"] == roots["id"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "first", "size"))
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))
-    groups = found.join(named.join(stays, "root").select("sid", "stays"), "sid")
+    groups = lookup(found, keep(named.join(stays, "root").select("sid", "stays", "size")), ["sid"], "size")
     gone = bounded(keep(groups.where(_order() != F.col("stays")).select("doc_id", "mark").distinct()).withColumnRenamed("mark", MARK))
     kept = docs.withColumn(MARK, F.xxhash64("text"))
     kept = kept.join(gone, same(kept, gone, "doc_id", MARK), "left_anti")

@@ -73,11 +73,11 @@ def test_permutation_is_a_bijection(n):
 
 def test_mixed_texts_are_the_documents_words(spark, corpus):
     docs = frame(spark, corpus)
-    words = {i: (t or "").split() for i, t, _ in corpus if i not in (130,)}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, _ in corpus if i not in (130,)}
     taken = Counter()
     for r in mixing.mix(docs, block=16, shard=8).collect():
-        got = r.text.split(" ")
-        assert len(got) == r.n and got == words[r.doc_id][r.at : r.at + r.n]
+        got = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        assert len(got) == r.n and got == words[r.doc_id][r.at : r.at + r.n] and r.text in dict(map(lambda x: x[:2], corpus))[r.doc_id]
         taken[r.doc_id] += r.n
     report = Counter()
     for r in mixing.mix_report(docs, block=16, shard=8).collect():
@@ -85,6 +85,30 @@ def test_mixed_texts_are_the_documents_words(spark, corpus):
     assert taken == Counter({k: v for k, v in report.items() if v})
 
 
+def test_large_draws_have_the_same_law():
+    rng = np.random.default_rng(1)
+    a = np.array([mixing.conditioned(300, 500, 80, rng) for _ in range(4000)])
+    b = rng.hypergeometric(300, 500, 80, 4000)
+    assert abs(a.mean() - b.mean()) < 0.3 and abs(a.std() / b.std() - 1) < 0.06
+    total = 3_000_000_000
+    x = np.array([mixing.hypergeometric(total, 2 * total, 1_500_000, rng) for _ in range(60)])
+    assert abs(x.mean() - 500_000) < 300 and 350 < x.std() < 850
+    counts, before = mixing.shard_counts(np.array([4_000_000_000, 2_000_000_000]), 1024, 3_000_000, 5)
+    assert counts.sum() == 1024 and before.sum() == 3_000_000 * 1024 and (counts > 200).all()
+
+
+def test_copies_are_listed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    rows = [(1, "a b c d", "s")] * 20 + [(None, "e\nf", None)] * 9 + [(2, None, "s"), (3, "g  h", "t")]
+    got = mixing.mix_report(frame(spark, rows), block=4, shard=8).collect()
+    assert sorted((r.doc_id, r.size) for r in got if r.doc_id) == sorted((i, len((t or "").split())) for i, t, _ in rows if i) and len(got) == len(rows)
+    taken = Counter()
+    for r in mixing.mix(frame(spark, rows), block=4, shard=8).collect():
+        assert r.text in {1: "a b c d", None: "e\nf", 3: "g  h"}[r.doc_id]
+        taken[r.doc_id] += r.n
+    assert taken == Counter({k: sum(r.taken for r in got if r.doc_id == k) for k in (1, None, 3)})
+
+
 def brute_spans(corpus, length):
     data = [(t or "").encode() for _, t, _ in corpus]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -293,6 +317,47 @@ def test_stages_tell_rows_of_one_id_apart(spark):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(i, t) for i, t, _ in rows if t not in (a, d)], key=repr)
 
 
+def test_pseudonyms_leave_the_users_columns_alone(spark):
+    docs = frame(spark, [(1, "mail a@b.com, ssn 123-45-6789", "a"), (1, "mail a@b.com, ssn 123-45-6789", "a"), (2, None, "b"), (3, "", None), (4, "none", "c")])
+    for name in ("_m", "_h", "_p", "_s", "_matches", "_kinds", "_pieces", "_swapped", "Found", "N_Found", "m", "a.b"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for out in (pii.rewrite(docs, "k"), pii.pseudonymise(docs, "k")):
+        for r in out.collect():
+            left = {c: v for c, v in r.asDict().items() if c not in ("text", "found", "n_found")}
+            assert all(v == "mine" for c, v in left.items() if c not in ("doc_id", "lang", "source", "n_chars")) and "a@b.com" not in repr(r) and "123-45-6789" not in repr(r)
+    assert pii.rewrite(docs, "k").columns == docs.columns
+    with pytest.raises(ValueError, match="no key"):
+        pii.pseudonymise(docs)
+
+
+def feistel(a, b, x, y, key, tweak):
+    """The permutation in plain Python."""
+    f = lambda r, v: int(hashlib.sha256(f"{key}|{tweak}|{r}|{v}".encode()).hexdigest()[:15], 16)
+    for r in range(1, pii.ROUNDS + 1):
+        a, b = ((a + f(r, b) % x) % x, b) if r % 2 else (a, (b + f(r, a) % y) % y)
+    return a, b
+
+
+def test_numbers_against_plain_python(spark):
+    rng = random.Random(8)
+    ssns = []
+    while len(ssns) < 2000:
+        x = f"{rng.randrange(1, 900):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"
+        ssns += [x] * (x[:3] != "666")
+    ssns[:4] = ["001-01-0001", "899-99-9999", "665-01-0001", "667-01-0001"]
+    got = [r.text for r in pii.pseudonymise(frame(spark, [(i, x, "a") for i, x in enumerate(ssns)]), "k").orderBy("doc_id").collect()]
+    assert all(re.fullmatch("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", x) for x in got) and len(set(got)) == len(set(ssns))
+    for x, y in zip(ssns, got, strict=True):
+        area, rest = int(x[:3]), int(x[4:6]) * 9999 + int(x[7:]) - 10_000
+        a, b = feistel(area - 1 - (area > 666), rest, 898, 99 * 9999, "k", "ssn")
+        assert y == f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    phones = [f"212-555-{i:04d}" for i in range(40)]
+    got = [r.text for r in pii.pseudonymise(frame(spark, [(i, x, "a") for i, x in enumerate(phones)]), "k").orderBy("doc_id").collect()]
+    for x, y in zip(phones, got, strict=True):
+        a, b = feistel(int(digits(x)[:5]), int(digits(x)[5:]), 10**5, 10**5, "k", "phone")
+        assert digits(y) == f"{a:05d}{b:05d}"
+
+
 def digits(text):
     return re.sub("[^0-9]", "", text)
 
@@ -395,6 +460,15 @@ def held(i, by):
     return zlib.crc32(str(i).encode()) % by
 
 
+def chunked(text):
+    """The features of a text counted in pieces of a few characters."""
+    size, langid.PIECE = langid.PIECE, 7
+    try:
+        return langid.features([text])[0]
+    finally:
+        langid.PIECE = size
+
+
 def test_language_held_out(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 40, "en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(160)] + [(900, None, "en"), (901, "12 34 ...", "de"), (902, "", None), (903, prose(rng, 20), None)]
@@ -403,6 +477,10 @@ def test_language_held_out(spark):
     test = [r for r in rows[:160] if held(r[0], 4) == 2]
     assert len(test) > 20 and all(got[i].held_out and got[i].lang_pred == lang for i, _, lang in test)
     assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "en"] and all(0 <= r.score <= 1 for r in got.values())
+    assert langid.features([rows[0][1] * 50])[0] == pytest.approx(chunked(rows[0][1] * 50), abs=1e-6)
+    model = langid.train(docs)
+    far = langid.replace(model, limit=-1.0)
+    assert langid.predict(far, ["hello there, a text of some length", "few", None])[3].tolist() == [True, False, True] and not langid.predict(None, ["a"])[3].any()
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {900, 901, 902}
     assert {r.lang_pred for r in langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -432,7 +510,7 @@ def test_classifiers_held_out(spark, label, fold):
 
 OPERATORS = {
     "op1": lambda d, b, y: mixing.mix_report(d), "op2": lambda d, b, y: spans.repeated_spans(d), "op3": lambda d, b, y: toxicity.score_toxicity(d, y.withColumnRenamed("y", "toxic")), "op5": lambda d, b, y: search.top_k(d, d), "op6": lambda d, b, y: quality.score_quality(d, y.withColumnRenamed("y", "quality")),
-    "op7": lambda d, b, y: simhash.near_duplicates(d), "op8": lambda d, b, y: pii.pseudonym_report(d), "op9": lambda d, b, y: decontaminate.contamination(d, b), "op10": lambda d, b, y: langid.predict_languages(d), "stage7": lambda d, b, y: simhash.drop_near_duplicates(d),
+    "op7": lambda d, b, y: simhash.near_duplicates(d), "op8": lambda d, b, y: pii.pseudonym_report(d, "k"), "op9": lambda d, b, y: decontaminate.contamination(d, b), "op10": lambda d, b, y: langid.predict_languages(d), "stage7": lambda d, b, y: simhash.drop_near_duplicates(d),
 }
 
 
@@ -445,7 +523,7 @@ def test_empty_nulls_and_clashing_columns(spark, name):
     for extra in ("size", "bucket", "mark", "fp", "score", "y", "h", "start", "n", "w", "found", "_m", "id", "root", "component_id", "sh"):
         clash = clash.withColumn(extra, F.lit("x"))
     got = OPERATORS[name](clash, items, labels).count()
-    assert got == {"op5": got, "stage7": 3}.get(name, 5) and got > 0
+    assert got == {"op5": got, "stage7": 4}.get(name, 5) and got > 0
 
 
 def test_urls_empty_and_clashing(spark):
