@@ -486,6 +486,57 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_kneser_ney(texts, toxic, least):
+    """P_c(w | u) of both classes as functions, in plain Python."""
+    grams = [{(u, w) for u, w in zip(["<s>", *t.split()], t.split(), strict=False)} for t in texts]
+    n = [Counter(g for x, y in zip(grams, toxic, strict=True) if y == c for g in x) for c in (1, 0)]
+    k = [Counter(w for _, w in x) for x in n]
+    k.append(Counter(w for _, w in set(n[0]) | set(n[1])))
+    n_after = [Counter() for _ in n]
+    for c in (0, 1):
+        for (u, _), v in n[c].items():
+            n_after[c][u] += v
+
+    def d(x):
+        one, two = (sum(v == i for v in x.values()) for i in (1, 2))
+        return one / (one + 2 * two) if one and two else 0.5
+
+    words = {w for x in texts for w in x.split()}
+    own2 = {g for x in n for g, v in x.items() if v >= least[0]}
+    own1 = {w for x in k[:2] for w, v in x.items() if v >= least[1]}
+    cut = [{w: max(x[w] - d(x), 0) / sum(x.values()) for w in own1} for x in k]
+    rest = [1 - sum(x.values()) for x in cut]
+    base = lambda w: cut[2].get(w, 0) + rest[2] / (len(words) + 1)
+    low = lambda c, w: cut[c].get(w, 0) + rest[c] * base(w)
+
+    def p(c, u, w):
+        seen = {x: max(n[c][u, x] - d(n[c]), 0) / n_after[c][u] for v, x in own2 if v == u and n_after[c][u]}
+        return seen.get(w, 0) + (1 - sum(seen.values())) * low(c, w)
+
+    return words, p
+
+
+def test_kneser_ney_sums_to_one_and_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST", (3, 2))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("a b c d e f g".split() + ["idiot"] * (i % 4 == 0)) for _ in range(rng.randrange(1, 9))) for i in range(60)]
+    toxic = [int(i % 4 == 0) for i in range(60)]
+    words, p = brute_kneser_ney(texts, toxic, (3, 2))
+    for u in [*words, "<s>", "never"]:
+        for c in (0, 1):
+            assert sum(p(c, u, w) for w in words) + p(c, u, "unseen") == pytest.approx(1)
+    rows = spark.createDataFrame([(t, y) for t, y in zip(texts, toxic, strict=True)], "text string, y int")
+    model = toxicity.kneser_ney(toxicity.count_bigrams(rows))
+    for t in [*texts[:12], "unseen a", "idiot idiot unseen"]:
+        key, _ = toxicity.bigrams([t])
+        want = [np.log(p(0, u, w)) - np.log(p(1, u, w)) for u, w in zip(["<s>", *t.split()], t.split(), strict=False)]
+        assert model.ratios(key) == pytest.approx(want, abs=1e-5)
+        got = model.evidence(["", t, None])
+        best = sorted(want, reverse=True)
+        assert got[1] == pytest.approx([np.mean(want), best[0], np.mean(best[:2]), np.mean(best[:5]), np.log1p(len(want))], abs=1e-5) and not got[0].any() and not got[2].any()
+    assert not len(toxicity.kneser_ney(toxicity.count_bigrams(rows.limit(0))).bigram[0])
+
+
 @pytest.mark.parametrize(("label", "fold"), [("toxic", (5, 0)), ("quality", (3, 1))])
 def test_classifiers_held_out(spark, label, fold):
     rng = random.Random(6)
