@@ -559,6 +559,34 @@ def test_classifiers_held_out(spark, label, fold):
         assert run(docs, few).count() == 402
 
 
+def test_word_vectors_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST", 2)
+    texts = ["red house, red door", "red house", "Red ### door", None, "", "lone"]
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(3)
+    known = quality.common_words(docs)
+    cut = [re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]+", t or "") for t in texts]
+    code = lambda w: quality.words([w])[0][0]
+    count = Counter(w for t in cut for w in t)
+    assert set(known) == {code(w) for w, n in count.items() if n >= 2}
+
+    def index(w):
+        out = np.zeros(quality.DIM)
+        np.add.at(out, *(x[0] for x in quality.index_of(np.array([code(w)]))))
+        return out
+
+    got = dict(zip(known.tolist(), quality.word_vectors(docs, known), strict=True))
+    meaning = {}
+    for w in (w for w, n in count.items() if n >= 2):
+        near = sum(index(t[j]) for t in cut for i, x in enumerate(t) if x == w for j in (i - 1, i + 1) if 0 <= j < len(t))
+        meaning[w] = near / np.linalg.norm(near)
+        assert np.abs(got[int(code(w))] / 127 - meaning[w]).max() < 0.01
+    unit = lambda w: meaning.get(w, index(w) / 2)
+    out = quality.pooled(known, np.array([got[int(k)] for k in known]), texts)
+    for row, t in zip(out, cut, strict=True):
+        mean = np.mean([unit(w) for w in sorted(set(t))], axis=0) if t else np.zeros(quality.DIM)
+        assert np.abs(row[:-2] - mean).max() < 0.01 and row[-2:] == pytest.approx([len(set(t)) / max(1, len(t)), np.log1p(len(t))])
+
+
 OPERATORS = {
     "op1": lambda d, b, y: mixing.mix_report(d), "op2": lambda d, b, y: spans.repeated_spans(d), "op3": lambda d, b, y: toxicity.score_toxicity(d, y.withColumnRenamed("y", "toxic")), "op5": lambda d, b, y: search.top_k(d, d), "op6": lambda d, b, y: quality.score_quality(d, y.withColumnRenamed("y", "quality")),
     "op7": lambda d, b, y: simhash.near_duplicates(d), "op8": lambda d, b, y: pii.pseudonym_report(d, "k"), "op9": lambda d, b, y: decontaminate.contamination(d, b), "op10": lambda d, b, y: langid.predict_languages(d), "stage7": lambda d, b, y: simhash.drop_near_duplicates(d),
