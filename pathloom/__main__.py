@@ -17,6 +17,10 @@ from pathloom.sources.parse import embedding_text
 from pathloom.streaming.imports import import_rows
 
 
+#: Single queries of a benchmark.
+SINGLES = 20
+
+
 def _import(spark, a):
     if a.rows_file:
         raw = readers.read_rows_file(spark, a.rows_file, a.limit)
@@ -69,20 +73,28 @@ def _recovery(spark, a):
 
 
 def _benchmark(spark, a):
-    """Exact batches, timed after an untimed run of the same shape, and the accuracy of approximate search."""
+    """Both strategies: a batch and ``SINGLES`` single queries, timed after untimed runs of the same shape, and the accuracy of the approximate one."""
     if not 1 <= a.queries <= 10_000:
         raise ValueError("queries must be 1 to 10000")
     df = readers.read_trajectories(spark, a.data)
-    exact, approximate = engine.create("exact").rebuild(df), engine.create("lsh").rebuild(df)
+    exact, approximate = engine.create("exact").rebuild(df), engine.create("ivf").rebuild(df)
     asked = sampling.seeded_sample(exact.corpus.select("id", "embedding"), a.queries).withColumnRenamed("id", "qid")
     truth = knn.knn_join(asked, exact.corpus.select("id", "embedding"), (), a.k)
-    seconds = []
-    for _ in range(2):
+    found = engine.ann.approximate_neighbours(approximate.model, asked, None, a.k)
+
+    def timed(job) -> float:
         began = time.time()
-        truth.write.mode("overwrite").format("noop").save()
-        seconds.append(time.time() - began)
-    found = engine.ann.approximate_neighbours(approximate.model, asked, exact.corpus.select("id", "embedding"), a.k, approximate.distance)
-    return metrics.ann_accuracy(truth, found).withColumns({"seconds": F.lit(round(seconds[1], 3)), "queries_per_second": F.lit(round(a.queries / seconds[1], 1))})
+        job()
+        return time.time() - began
+
+    out = metrics.ann_accuracy(truth, found)
+    for name, batch, one in (("exact", truth, exact), ("approximate", found, approximate)):
+        seconds = [timed(lambda b=batch: b.write.mode("overwrite").format("noop").save()) for _ in range(2)][1]
+        vectors = [r.embedding for r in asked.limit(SINGLES).collect()]
+        each = sorted([timed(lambda v=v, e=one: e.search(v, a.k).collect()) for v in [vectors[0], *vectors]][1:])
+        rank = lambda share, x=each: round(1000 * x[max(0, -(-int(100 * share) * len(x) // 100) - 1)], 3)
+        out = out.withColumns({f"{name}_seconds": F.lit(round(seconds, 3)), f"{name}_queries_per_second": F.lit(round(a.queries / seconds, 1)), f"{name}_p50_ms": F.lit(rank(0.5)), f"{name}_p95_ms": F.lit(rank(0.95))})
+    return out
 
 
 def _search(spark, a):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators import ann, dedup, knn
@@ -28,15 +29,40 @@ class Engine:
     def rebuild(self, trajectories: DataFrame) -> Engine:
         df = validate(normalise(trajectories))
         self.builds += 1
-        if self.folder:
-            path = f"{self.folder.rstrip('/')}/build-{self.builds:06d}"
-            df.write.mode("overwrite").partitionBy("platform", "app", "success").parquet(path)
-            self.corpus = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-        else:
-            self.corpus = keep(df)
-        self.dimension = df.agg(F.max(F.size("embedding"))).first()[0]
+        if not self.folder:
+            return self._opened(keep(df))
+        path = f"{self.folder.rstrip('/')}/build-{self._last(df.sparkSession) + 1:06d}"
+        df.write.mode("errorifexists").partitionBy("platform", "app", "success").parquet(path)
+        return self._opened(df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns))
+
+    def open(self, spark: SparkSession) -> Engine:
+        """The last finished build in ``folder``, as another engine left it."""
+        last = self._last(spark)
+        if not last:
+            raise FileNotFoundError(f"no build in {self.folder}")
+        return self._opened(normalise(spark.read.parquet(f"{self.folder.rstrip('/')}/build-{last:06d}")))
+
+    def _last(self, spark: SparkSession) -> int:
+        """The number of the last build whose writer finished; 0 for none."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder.rstrip('/')}/build-*/_SUCCESS")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        return max((int(f.getPath().getParent().getName().removeprefix("build-")) for f in found), default=0)
+
+    def _opened(self, corpus: DataFrame) -> Engine:
+        began = time.time()
+        self.corpus = corpus
+        self.dimension = corpus.agg(F.max(F.size("embedding"))).first()[0]
+        self.seconds = time.time() - began
         return self
 
+    def health(self) -> dict:
+        """Whether a search would run, and over what."""
+        return {"status": "ok" if self.corpus is not None else "empty", "strategy": self.name, "dimension": self.dimension, "folder": self.folder}
+
+    def filter_counts(self) -> DataFrame:
+        """(platform, app, success, n): rows behind each combination of filters."""
+        return self._ready().groupBy("platform", "app", "success").agg(F.count("*").alias("n"))
+
     def _ready(self) -> DataFrame:
         if self.corpus is None:
             raise RuntimeError("nothing was built yet")
@@ -74,17 +100,17 @@ class Engine:
 
 
 class ApproximateEngine(Engine):
-    """Random-projection hashing; exact where the filters leave under ``ann.EXACT_BELOW`` rows, and for batches and groups."""
+    """An inverted file of cells; exact where the filters leave under ``ann.EXACT_BELOW`` rows, and for batches and groups."""
 
-    name = "lsh"
+    name = "ivf"
 
-    def __init__(self, folder: str | None = None, bucket: float = 0.5, tables: int = 8, distance: float = 1.3):
+    def __init__(self, folder: str | None = None, cells: int | None = None, probes: float = ann.PROBES):
         super().__init__(folder)
-        self.bucket, self.tables, self.distance, self.model = bucket, tables, distance, None
+        self.cells, self.probes, self.model = cells, probes, None
 
-    def rebuild(self, trajectories: DataFrame) -> Engine:
-        super().rebuild(trajectories)
-        self.model = ann.build(self.corpus, self.bucket, self.tables)
+    def _opened(self, corpus: DataFrame) -> Engine:
+        super()._opened(corpus)
+        self.model = ann.build(corpus, self.cells)
         return self
 
     def _nearest(self, corpus: DataFrame, vector: list[float], k: int, platform, app, success) -> DataFrame:
@@ -92,12 +118,12 @@ class ApproximateEngine(Engine):
         if some.limit(ann.EXACT_BELOW).count() < ann.EXACT_BELOW:
             return super()._nearest(some, vector, k, None, None, None)
         query = corpus.sparkSession.createDataFrame([("query", vector)], "qid string, embedding array<float>")
-        near = ann.approximate_neighbours(self.model, query, some.select("id", "embedding"), k, self.distance)
+        near = ann.approximate_neighbours(self.model, query, some.select("id", "embedding"), k, self.probes)
         rows = some.drop("embedding").join(near.select("id", "cos", "rank"), "id")
         return rows.withColumn("score", knn.score(F.col("cos")))
 
 
-STRATEGIES = {"exact": Engine, "lsh": ApproximateEngine, "approximate": ApproximateEngine}
+STRATEGIES = {"exact": Engine, "ivf": ApproximateEngine, "approximate": ApproximateEngine}
 
 
 def create(name: str | None = None, **options) -> Engine:

@@ -8,9 +8,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OFFSET, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 TOKEN = re.compile(r"[^\W_]+")
@@ -78,34 +79,68 @@ def unit(vector: np.ndarray) -> np.ndarray:
     return (vector.astype(np.float32) / length).astype(np.float32)
 
 
-def _map(df: DataFrame, dim: int, one, schema: str) -> DataFrame:
-    _check(dim)
-    kinds = dict(df.dtypes)
+#: Rows whose sums are made together: rows x dimension numbers in memory.
+ROWS = 1024
+
+
+def batch_sums(rows: list[tuple], dim: int) -> np.ndarray:
+    """The sums of each (instruction, app, actions): features of all rows are hashed at once, each different one once."""
+    names: dict[str, int] = {}
+    code, who, weight = [], [], []
+    for i, (text, app, actions) in enumerate(rows):
+        found, w = features(text, actions, app)
+        code += [names.setdefault(x, len(names)) for x in found]
+        who += [i] * len(found)
+        weight += w
+    if not names:
+        return np.zeros((len(rows), dim))
+    h = fnv1a64(list(names))[code]
+    signed = np.where(h >= 0, weight, np.negative(weight))
+    return np.bincount(np.array(who) * dim + np.mod(h, dim), signed, minlength=len(rows) * dim).reshape(len(rows), dim)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = zip(part["id"], part["instruction"], part["app"], part["actions"], strict=True)
-            got = [one(i, sums(*features(text, actions, app), dim)) for i, text, app, actions in rows]
-            yield pd.concat(got) if got else pd.DataFrame()
 
-    return df.select("id", "instruction", "app", "actions").mapInPandas(run, schema.replace("ID", kinds["id"]))
+def _columns(part, names) -> list[tuple]:
+    return list(zip(*[part.column(n).to_pylist() for n in names], strict=True))
+
+
+INPUTS = ("instruction", "app", "actions")
 
 
 def hash_features(df: DataFrame, dim: int = 256) -> DataFrame:
     """(id, bucket, value): the non-zero sums for ``df(id, instruction, app, actions)``; null app: instruction alone."""
+    _check(dim)
+    kind = dict(df.dtypes)["id"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, ROWS):
+                some = part.slice(at, ROWS)
+                v = batch_sums(_columns(some, INPUTS), dim)
+                who, bucket = np.nonzero(v)
+                yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(who)), pa.array(bucket.astype(np.int32)), pa.array(v[who, bucket])], ["id", "bucket", "value"])
 
-    def one(i, v):
-        at = np.flatnonzero(v)
-        return pd.DataFrame({"id": i, "bucket": at, "value": v[at]})
+    return df.select("id", *INPUTS).mapInArrow(run, f"id {kind}, bucket int, value double")
 
-    return _map(df, dim, one, "id ID, bucket int, value double")
 
+def with_hash_embedding(df: DataFrame, dim: int = 256) -> DataFrame:
+    """``df`` with its embedding replaced; every other column comes through, so nothing is joined or shuffled."""
+    _check(dim)
+    rows = df.drop("embedding")
 
-def hash_embedding(df: DataFrame, dim: int = 256) -> DataFrame:
-    """(id, embedding): the sums scaled to length one."""
-    return _map(df, dim, lambda i, v: pd.DataFrame({"id": [i], "embedding": [unit(v)]}), "id ID, embedding array<float>")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, ROWS):
+                some = part.slice(at, ROWS)
+                v = batch_sums(_columns(some, INPUTS), dim)
+                length = np.sqrt((v * v).sum(axis=1)).astype(np.float32)
+                v = v.astype(np.float32) / np.where(length == 0, np.float32(1), length)[:, None]
+                v[length == 0, 0] = 1
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), dim).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*some.columns, lists], [*some.schema.names, "embedding"])
 
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
-def with_hash_embedding(df: DataFrame, dim: int = 256) -> DataFrame:
-    """``df`` with its embedding replaced (ids must be unique)."""
-    return df.drop("embedding").join(hash_embedding(df, dim), "id")
+
+def hash_embedding(df: DataFrame, dim: int = 256) -> DataFrame:
+    """(id, embedding): the sums scaled to length one; the first unit vector for none."""
+    return with_hash_embedding(df.select("id", *INPUTS), dim).select("id", "embedding")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import platform
 import unicodedata
 from collections.abc import Iterator
 from typing import Protocol
@@ -9,6 +10,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pathloom.functions.hashing import features, sums, unit
 
@@ -20,24 +22,30 @@ CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F
 
 def _alone(c: str) -> bool:
     code = ord(c)
-    ascii_sign = 33 <= code <= 126 and not c.isalnum()
-    return ascii_sign or unicodedata.category(c).startswith("P") or any(a <= code <= z for a, z in CJK)
+    return unicodedata.category(c).startswith("P") or any(a <= code <= z for a, z in CJK)
+
+
+def _space(c: str, kind: str) -> bool:
+    """Separators that may break a line; tab and newline are control characters and gone before."""
+    return kind in ("Zs", "Zl", "Zp") and c not in "\u00a0\u2007\u202f"
 
 
 def basic_tokens(text: str | None) -> list[str]:
-    """Lower-cased, accents and control characters dropped, cut at white space, punctuation and ideographs alone."""
+    """Lower-cased, accents and control characters (tab and newline too) dropped, cut at separators; punctuation and
+    ideographs stand alone. Symbols such as + or $ are no punctuation."""
     out, word = [], []
     for c in unicodedata.normalize("NFD", (text or "").lower()):
         kind = unicodedata.category(c)
-        if kind.startswith("M"):
+        if kind.startswith("M") or kind in ("Cc", "Cf"):
             continue
-        if c.isspace() or _alone(c):
+        space = _space(c, kind)
+        if space or _alone(c):
             if word:
                 out.append("".join(word))
                 word = []
-            if not c.isspace():
+            if not space:
                 out.append(c)
-        elif kind not in ("Cc", "Cf"):
+        else:
             word.append(c)
     return [*out, "".join(word)] if word else out
 
@@ -120,6 +128,24 @@ class HashModel:
         return np.array([unit(sums(*features(t, ()), self.dimension)) for t in texts])
 
 
+#: Model file for each machine, as platform.machine() names it; any other takes the first. Fixed values.
+ONNX_FILES = {"x86_64": "model_quint8_avx2.onnx", "aarch64": "model_qint8_arm64.onnx", "arm64": "model_qint8_arm64.onnx"}
+
+
+def model_path(folder: str, machine: str | None = None) -> str:
+    """The model file in ``folder`` for this (or the named) machine."""
+    name = ONNX_FILES.get((machine or platform.machine()).lower(), next(iter(ONNX_FILES.values())))
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def file_sha256(spark, path: str) -> str:
+    """The digest of one file, whatever the file system, in lower-case hex; read by a task, not by the driver."""
+    rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("digest")).limit(2).collect()
+    if len(rows) != 1:
+        raise FileNotFoundError(path)
+    return rows[0].digest
+
+
 class OnnxModel:
     """A sentence encoder in ONNX, tokenised by WordPiece; a session opens once in each worker."""
 

@@ -22,11 +22,12 @@ def truncated(df: DataFrame) -> DataFrame:
     return df.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
-def parents_of(df: DataFrame, count: int = 57, labels: DataFrame | None = None) -> DataFrame:
-    """The rows to fail: every labelled id (all must be eligible), else an even sample in order of id."""
+def parents_of(df: DataFrame, count: int = 57, labels: DataFrame | None = None, order: str = "id") -> DataFrame:
+    """The rows to fail: every labelled id (all must be eligible), else an even sample in order of ``order``, a unique column:
+    the place in the input where the input has one (a table has no order of its own), else the id."""
     can = eligible(df)
     if labels is None:
-        return even_sample(can, count).drop("ordinal")
+        return even_sample(can, count, order).drop("ordinal")
     ids = labels.select("id").distinct()
     missing = ids.join(can, "id", "left_anti").limit(5).collect()
     if missing:
@@ -42,9 +43,9 @@ def alternatives(groups: DataFrame) -> DataFrame:
     return groups.join(other, "label").where("alternative <> id").select("id", "alternative").distinct()
 
 
-def inject(df: DataFrame, count: int = 57, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def inject(df: DataFrame, count: int = 57, labels: DataFrame | None = None, order: str = "id") -> tuple[DataFrame, DataFrame]:
     """(all rows with the failures appended, pairs): pairs hold failureId, successfulId, alternatives and action counts."""
-    parents = parents_of(df, count, labels)
+    parents = parents_of(df, count, labels, order)
     failed = truncated(parents)
     pairs = parents.select(F.concat("id", F.lit("-failed-truncated")).alias("failureId"), F.col("id").alias("successfulId"), F.size("actions").alias("originalActionCount"))
     pairs = pairs.join(failed.select(F.col("id").alias("failureId"), F.size("actions").alias("remainingActionCount")), "failureId").withColumn("failureType", F.lit(KIND))

@@ -60,15 +60,16 @@ def _blocks(df: DataFrame, name: str, keys: list[str], block: int, *extra: str)
     return cut.groupBy(*keys, name).agg(F.collect_list(F.struct(df.columns[0], "embedding", *extra)).alias(f"{name}_rows"))
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, keys: Sequence[str] = (), k: int = 10, block: int = BLOCK) -> DataFrame:
+def knn_join(queries: DataFrame, corpus: DataFrame, keys: Sequence[str] = (), k: int = 10, block: int = BLOCK, masks: Sequence[str] = ()) -> DataFrame:
     """(qid, id, cos, rank): for each row of ``queries(qid, embedding, *keys[, k])`` its nearest rows of ``corpus(id, embedding, *keys)``.
 
-    A column ``k`` in ``queries`` overrides the argument. Null keys match nothing. Rows without an embedding are left out."""
-    keys = list(keys)
+    A column ``k`` in ``queries`` overrides the argument. Null keys match nothing. Rows without an embedding are left out.
+    ``masks`` are filter columns of both sides, any value matching a query's null."""
+    keys, masks = list(keys), list(masks)
     if "k" not in queries.columns:
         queries = queries.withColumn("k", F.lit(check_k(k)))
-    left = _blocks(queries.where("embedding is not null").select("qid", "embedding", "k", *keys), "qb", keys, block, "k")
-    right = _blocks(corpus.where("embedding is not null").select("id", "embedding", *keys), "cb", keys, block)
+    left = _blocks(queries.where("embedding is not null").select("qid", "embedding", "k", *keys, *masks), "qb", keys, block, "k", *masks)
+    right = _blocks(corpus.where("embedding is not null").select("id", "embedding", *keys, *masks), "cb", keys, block, *masks)
     places = right.select(*keys, "cb")
     pairs = left.join(places, keys) if keys else left.crossJoin(F.broadcast(places))  # block numbers only
     spark = queries.sparkSession
@@ -79,20 +80,24 @@ def knn_join(queries: DataFrame, corpus: DataFrame, keys: Sequence[str] = (), k:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for qs, cs in batch.itertuples(index=False):
-                yield _block_top(qs, cs)
+                yield _block_top(qs, cs, masks)
 
     found = pairs.mapInPandas(run, kinds)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id"))
     return found.withColumn("rank", rank).where("rank <= k").drop("k")
 
 
-def _block_top(qs, cs) -> pd.DataFrame:
+def _block_top(qs, cs, masks: Sequence[str] = ()) -> pd.DataFrame:
     q, c = (np.array([r["embedding"] for r in rows], dtype=np.float32) for rows in (qs, cs))
     unit = [x.astype(float) / np.maximum(np.sqrt((x.astype(float) ** 2).sum(axis=1, keepdims=True)), 1e-300) for x in (q, c)]
     near = unit[0] @ unit[1].T
+    for name in masks:
+        mine, theirs = [r[name] for r in qs], np.array([r[name] for r in cs], dtype=object)
+        for value in set(mine) - {None}:
+            near[np.ix_(np.flatnonzero([x == value for x in mine]), np.flatnonzero(theirs != value))] = -3.0
     ids, want = np.array([r["id"] for r in cs], dtype=object), np.array([r["k"] for r in qs])
     least = np.array([np.partition(row, -k)[-k] if k < len(row) else -2.0 for row, k in zip(near, want.tolist(), strict=True)])
-    at, hit = np.nonzero(near >= least[:, None] - 1e-6)
+    at, hit = np.nonzero(near >= np.maximum(least, -2.0)[:, None] - 1e-6)
     cos = exact_cosine(q[at], c[hit]) if len(at) else np.zeros(0, np.float32)
     out = pd.DataFrame({"qid": np.array([r["qid"] for r in qs], dtype=object)[at], "id": ids[hit], "cos": cos, "k": want[at]})
     out = out.sort_values(["qid", "cos", "id"], ascending=[True, False, True], kind="stable")
@@ -100,17 +105,14 @@ def _block_top(qs, cs) -> pd.DataFrame:
 
 
 def search_batch(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``queries(qid, embedding, k, platform, app, success)``: null or blank filters match any; (qid, id, cos, rank)."""
+    """``queries(qid, embedding, k, platform, app, success)``: null or blank filters match any; (qid, id, cos, rank).
+
+    Queries of all combinations of filters go through one join: the filter columns are packed into the blocks and mask
+    the block's product."""
     keys = ("platform", "app", "success")
-    flags = [~blank(F.col(x)) if x != "success" else F.col(x).isNotNull() for x in keys]
-    tagged = queries.withColumn("_use", F.concat(*[f.cast("int").cast("string") for f in flags]))
-    out = None
-    for row in tagged.select("_use").distinct().collect():  # eight combinations at most
-        used = [name for name, bit in zip(keys, row["_use"], strict=True) if bit == "1"]
-        some = tagged.where(F.col("_use") == row["_use"]).select("qid", "embedding", "k", *used)
-        got = knn_join(some, corpus, used)
-        out = got if out is None else out.unionByName(got)
-    return out if out is not None else knn_join(queries, corpus, ())
+    wild = [F.when(~blank(F.col(c)), F.col(c)).alias(c) for c in keys[:2]]
+    asked = queries.select("qid", "embedding", "k", *wild, "success")
+    return knn_join(asked, corpus.select("id", "embedding", *keys), (), masks=keys)
 
 
 def without(ranked: DataFrame, excluded: Column, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.hashing import hash_embedding, hash_features
+from pathloom.functions.hashing import hash_embedding, hash_features, with_hash_embedding
 from pathloom.functions.vectors import score
 from pathloom.operators import ann, dedup, inject, knn, metrics, recovery, report, sampling
 from pathloom.plans import oracle
@@ -17,7 +17,7 @@ from pathloom.scratch import keep
 from pathloom.sources.parse import embedding_text, image_count
 
 Query = Callable[[SparkSession, str], DataFrame]
-LOW, DOC_T, PER_LABEL = 0.35, 0.92, 6
+LOW, DOC_T = 0.35, 0.92
 
 
 def _first(df: DataFrame, where: str = "true"):
@@ -25,6 +25,11 @@ def _first(df: DataFrame, where: str = "true"):
     return df.where(where).agg(F.min_by(F.struct("id", "embedding"), "id").alias("r")).first().r
 
 
+def _number():
+    """The number in an id, of any length."""
+    return F.substring("id", 5, 30).cast("long")
+
+
 def _six(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c in names else c for c in df.columns])
 
@@ -50,8 +55,8 @@ def q03_search_by_id(spark, sf_dir):
 
 def q04_search_batch(spark, sf_dir):
     v = vec(spark, sf_dir)
-    n = F.substring("id", 5, 6).cast("int")
-    asked = v.where(n % 10 == 0).select(F.col("id").alias("qid"), "embedding", (n % 7 + 1).alias("k"), F.when(n % 20 == 0, F.col("platform")).alias("platform"), F.when(n % 30 == 0, F.lit("")).otherwise(F.col("app")).alias("app"), F.when(n % 40 == 0, F.lit(True)).alias("success"))
+    n = _number()
+    asked = v.where(n % 10 == 0).select(F.col("id").alias("qid"), "embedding", (n % 7 + 1).cast("int").alias("k"), F.when(n % 20 == 0, F.col("platform")).alias("platform"), F.when(n % 30 == 0, F.lit("")).otherwise(F.col("app")).alias("app"), F.when(n % 40 == 0, F.lit(True)).alias("success"))
     return _ranked(knn.search_batch(asked, v), "qid", "id")
 
 
@@ -85,7 +90,7 @@ def q09_hash_embedding(spark, sf_dir):
 
 def _hashed(spark, sf_dir):
     d = doc(spark, sf_dir)
-    return keep(d.select("id", "platform", "app", "success", "source").join(hash_embedding(d, 256), "id"))
+    return keep(with_hash_embedding(d, 256).select("id", "platform", "app", "success", "source", "embedding"))
 
 
 def q10_doc_dedup(spark, sf_dir):
@@ -111,9 +116,7 @@ def q14_counts(spark, sf_dir):
 def _retrieval(spark, sf_dir):
     v = vec(spark, sf_dir)
     ranked = knn.neighbours(v.select("id", "embedding", "platform", "app"), v.select("id", "embedding", "platform", "app"), 5)
-    members = v.select("intent", "id")
-    relevant = members.withColumnRenamed("id", "qid").join(members, "intent").where("qid <> id").select("qid", "id")
-    return metrics.retrieval_per_query(ranked, relevant, 5)
+    return metrics.retrieval_by_label(ranked, v.select(F.col("intent").alias("label"), "id"), 5)
 
 
 def q15_retrieval_per_query(spark, sf_dir):
@@ -125,11 +128,8 @@ def q16_retrieval_summary(spark, sf_dir):
 
 
 def _groups(spark, sf_dir):
-    """A label set: the first ids of each intent, in order."""
-    from pyspark.sql import Window
-
-    v = vec(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("intent").orderBy("id"))).where(F.col("r") <= PER_LABEL)
-    return v.select(F.col("intent").alias("label"), (F.col("intent") * PER_LABEL + F.col("r")).alias("ordinal"), "id")
+    """A label set: every row under its intent, in order of id."""
+    return vec(spark, sf_dir).select(F.col("intent").alias("label"), F.col("id").alias("ordinal"), "id")
 
 
 def _scored(spark, sf_dir):
@@ -166,7 +166,7 @@ def q21_inject(spark, sf_dir):
 
 def _recovery(spark, sf_dir):
     both, pairs = inject.inject(conv(spark, sf_dir), 10)
-    both = keep(both.join(hash_embedding(both, 64), "id"))
+    both = keep(with_hash_embedding(both, 64))
     same = both.where("success").select("app", F.col("id").alias("other"))
     lists = both.where("not success").select("app", F.col("sourceId").alias("successfulId")).join(same, "app").where("other <> successfulId").groupBy("successfulId").agg(F.sort_array(F.collect_set("other")).alias("alternativeSuccessfulIds"))
     return recovery.recovery_per_failure(both, keep(pairs.drop("alternativeSuccessfulIds").join(lists, "successfulId", "left")), 5)
@@ -195,7 +195,7 @@ def q26_sample_even(spark, sf_dir):
 
 def q27_validate(spark, sf_dir):
     v = vec(spark, sf_dir)
-    n = F.substring("id", 5, 6).cast("int")
+    n = _number()
     spoilt = v.select(
         F.when(n % 50 == 1, F.lit("vec-000000")).otherwise(F.col("id")).alias("id"), F.when(n % 40 == 2, F.lit(" ")).otherwise(F.lit("x")).alias("instruction"), "platform", "app", "success", F.array().cast("array<string>").alias("actions"),
         F.when(n % 60 == 3, F.transform("embedding", lambda x: F.lit(0).cast("float"))).when(n % 70 == 4, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("embedding"), F.when(n % 90 == 5, F.lit(-1)).otherwise(F.lit(0)).alias("imageCount"),
@@ -206,7 +206,7 @@ def q27_validate(spark, sf_dir):
 def q28_lsh_recall(spark, sf_dir):
     v = vec(spark, sf_dir).select("id", "embedding")
     asked = v.withColumnRenamed("id", "qid")
-    truth, found = knn.knn_join(asked, v, (), 10), ann.approximate_neighbours(ann.build(v), asked, v, 10)
+    truth, found = knn.knn_join(asked, v, (), 10), ann.approximate_neighbours(ann.build(v), asked, None, 10)
     return metrics.ann_accuracy(truth, found)
 
 
@@ -215,13 +215,13 @@ def q29_image_count(spark, sf_dir):
 
 
 def q30_report(spark, sf_dir):
-    v = vec(spark, sf_dir).withColumn("imageCount", F.substring("id", 5, 6).cast("int") % 4).withColumn("source", F.lit("local"))
+    v = vec(spark, sf_dir).withColumn("imageCount", (_number() % 4).cast("int")).withColumn("source", F.lit("local"))
     return report.dataset_report(v)
 
 
 def q31_doc_search(spark, sf_dir):
     d = _hashed(spark, sf_dir)
-    return _ranked(knn.neighbours(d.where(F.substring("id", 5, 6).cast("int") % 100 == 0).select("id", "embedding", "platform", "app"), d.select("id", "embedding", "platform", "app"), 5), "qid", "id")
+    return _ranked(knn.neighbours(d.where(_number() % 100 == 0).select("id", "embedding", "platform", "app"), d.select("id", "embedding", "platform", "app"), 5), "qid", "id")
 
 
 def queries() -> dict[str, Query]:

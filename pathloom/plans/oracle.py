@@ -27,9 +27,7 @@ h AS (SELECT r2.qid AS qid, count(*) AS hits, min(rank) AS fr FROM r2 JOIN rel O
 m AS (SELECT t.qid AS qid, relevant, coalesce(hits, 0) AS hits, coalesce(hits, 0) / relevant::DOUBLE AS recall, coalesce(hits, 0) / 5.0::DOUBLE AS precision,
   coalesce(fr, 0) AS first_rank, CASE WHEN fr > 0 THEN 1.0::DOUBLE / fr ELSE 0.0 END AS rr
   FROM (SELECT qid, count(*) AS relevant FROM rel GROUP BY qid) t LEFT JOIN h ON t.qid = h.qid)"""
-_PAIRS = f"""g AS (SELECT intent AS label, id, embedding, intent * 6 + row_number() OVER (PARTITION BY intent ORDER BY id) AS ordinal,
-  row_number() OVER (PARTITION BY intent ORDER BY id) AS nth FROM v),
-s AS (SELECT a.id AS left_id, b.id AS right_id, a.label = b.label AS duplicate, {_COS} AS cos FROM g a JOIN g b ON a.ordinal < b.ordinal AND a.nth <= 6 AND b.nth <= 6)"""
+_PAIRS = f"s AS (SELECT a.id AS left_id, b.id AS right_id, a.intent = b.intent AS duplicate, {_COS} AS cos FROM v a JOIN v b ON a.id < b.id)"
 
 
 def _sweep(thresholds: str) -> str:
@@ -58,7 +56,21 @@ each AS (SELECT id, unnest(list_transform(w, lambda x: 'instruction:' || x)) AS
   UNION ALL SELECT id, 'instruction:bigram:' || w[i] || '_' || w[i + 1], 1.0::DOUBLE FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM tok)),
 hashed AS (SELECT f, {_FNV} AS h FROM (SELECT DISTINCT f FROM each)),
 sums AS (SELECT id, (h % 256)::INTEGER AS bucket, sum(CASE WHEN h < 9223372036854775808::HUGEINT THEN weight ELSE -weight END) AS value FROM each JOIN hashed ON each.f = hashed.f GROUP BY 1, 2)"""
-_N = "n"
+#: Hash embeddings of the documents as (id, bucket, v), floats, and cosines of pairs that share a bucket under a condition.
+_HASHED = f"""{_FEATURES}, e0 AS (SELECT id, bucket, value, sqrt(sum(value * value) OVER (PARTITION BY id))::FLOAT AS len FROM sums WHERE value <> 0),
+e AS (SELECT id, bucket, (value::FLOAT / len)::DOUBLE AS v FROM e0), norms AS (SELECT id, sqrt(sum(v * v)) AS len FROM e GROUP BY id),
+m AS (SELECT printf('doc-%06d', documents.doc_id) AS id, documents.doc_id AS n, lang AS app, coalesce(quality = 1, true) AS success FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)"""
+
+
+def _near(where: str) -> str:
+    return f"""pq AS (SELECT a.id AS qid, b.id AS id FROM m a JOIN m b ON {where}),
+dots AS (SELECT qid, pq.id AS id, sum(x.v * y.v) AS dot FROM pq JOIN e x ON x.id = qid JOIN e y ON y.id = pq.id AND y.bucket = x.bucket GROUP BY qid, pq.id),
+p AS (SELECT qid, dots.id AS id, (dot / (a.len * b.len))::FLOAT AS cos FROM dots JOIN norms a ON a.id = qid JOIN norms b ON b.id = dots.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM p)"""
+
+
+_SAME = f"""WITH RECURSIVE {_HASHED}, {_near("a.app = b.app AND a.success = b.success")}, s AS (SELECT qid AS x, id AS y FROM r WHERE rank <= 10 AND qid <> id AND cos >= 0.92::FLOAT UNION SELECT id, qid FROM r WHERE rank <= 10 AND qid <> id AND cos >= 0.92::FLOAT),
+reach(x, y) AS (SELECT x, y FROM s UNION SELECT reach.x, s.y FROM reach JOIN s ON reach.y = s.x), roots AS (SELECT x AS id, least(x, min(y)) AS root FROM reach GROUP BY x)"""
 SQL = {
     "q01_search_topk": _one("true", 5).replace("EXTRA", "round(((1.0::DOUBLE + cos::DOUBLE) / 2)::FLOAT::DOUBLE, 6) AS score,"),
     "q02_search_filtered": _one("b.app = 'app-1' AND b.success", 10).replace("EXTRA", ""),
@@ -75,6 +87,8 @@ lists AS (SELECT root, string_agg(id, ',' ORDER BY id) AS member_ids FROM roots
 SELECT lists.root AS canonical_id, member_ids, round(mean, 4) AS mean_cos FROM lists JOIN pairs ON lists.root = pairs.root""",
     "q08_hash_features": f"WITH {_FEATURES} SELECT id, bucket, value FROM sums WHERE value <> 0",
     "q09_hash_embedding": f"WITH {_FEATURES}, lens AS (SELECT id, sqrt(sum(value * value))::FLOAT AS len FROM sums GROUP BY id) SELECT sums.id AS id, bucket, round((value::FLOAT / len)::DOUBLE, 5) AS value FROM sums JOIN lens ON sums.id = lens.id WHERE value <> 0",
+    "q10_doc_dedup": f"{_SAME} SELECT id, root FROM roots",
+    "q11_doc_group_stats": f"{_SAME}, g AS (SELECT count(*) AS n FROM roots GROUP BY root) SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS members, coalesce(max(n), 0)::BIGINT AS largest FROM g",
     "q12_conv_parse": f"WITH {_CONV} SELECT id, instruction, app, success, array_to_string(actions, ' | ') AS actions, len(actions)::BIGINT AS n FROM t",
     "q13_embed_text": f"WITH {_CONV} SELECT id, 'Task: ' || instruction || '. App: ' || app || '. Steps: ' || array_to_string(actions, ' ') AS text FROM t",
     "q14_counts": """WITH d AS (SELECT lang, source, coalesce(quality = 1, true) AS ok FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)
@@ -95,4 +109,5 @@ f AS (SELECT 'instruction' AS rule FROM s WHERE n % 40 = 2 UNION ALL SELECT 'vec
 SELECT rule, count(*) AS n FROM f GROUP BY rule""",
     "q29_image_count": "SELECT conv_id, 0::BIGINT AS images FROM conversations GROUP BY conv_id",
     "q30_report": f"WITH {_V} SELECT count(*) AS trajectories, 64::BIGINT AS dimension, 'feature-hash' AS model, count(*) FILTER (WHERE success) AS successes, sum(n % 4)::BIGINT AS images, count(DISTINCT app) AS apps, 1::BIGINT AS sources FROM v",
+    "q31_doc_search": f"WITH {_HASHED}, {_near('a.n % 100 = 0 AND a.app = b.app')}, o AS (SELECT qid, id, cos, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM r WHERE rank <= 6 AND id <> qid) SELECT qid, id, round(cos::DOUBLE, 6) AS cos, rank FROM o WHERE rank <= 5",
 }

@@ -34,7 +34,7 @@ def actions(messages: Column) -> Column:
     """Per assistant message: each named call but ``terminate`` (with the first description), else the description."""
 
     def one(m: Column) -> Column:
-        said = F.get(F.filter(_content(m), lambda c: c["type"] == "action_description"), F.lit(0))["text"]
+        said = strip(F.get(F.filter(_content(m), lambda c: c["type"] == "action_description"), F.lit(0))["text"])
         names = F.filter(F.transform(_calls(m), lambda t: t["function"]["name"]), lambda n: ~blank(n) & (n != "terminate"))
         full = F.transform(names, lambda n: F.when(blank(said), n).otherwise(F.concat(n, F.lit(": "), said)))
         return F.when(F.size(full) > 0, full).when(~blank(said), F.array(said)).otherwise(_empty("array<string>"))

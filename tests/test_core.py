@@ -251,6 +251,7 @@ CASES = [
     ([message("user", "x"), message("assistant", "look", "action_description"), message("assistant", " ", "action_description", [("a", None), ("b", None)]), message("tool", None, calls=[("terminate", "failure")])], "x", ["look", "a", "b"], False),
     ([message("user", "x"), message("assistant", None, calls=[("terminate", None)])], "x", [], False),
     ([message("assistant", "y")], None, [], True),
+    ([message("user", "x"), message("assistant", "  tap it\n", "action_description"), message("assistant", "\tpad ", "action_description", [("tap", None)])], "x", ["tap it", "tap: pad"], True),
 ]
 
 
@@ -347,6 +348,10 @@ def test_wordpiece(spark, tmp_path):
     ids_, mask, kinds = w.encode("Sét​ alarm playing!日unknown")
     assert ids_ == [2, 4, 5, 6, 7, 8, 9, 1, 3] and mask == [1] * 9 and kinds == [0] * 9
     assert len(wordpiece.WordPiece(vocabulary, 8).encode("set " * 50)[0]) == 8 and w.encode(None)[0] == [2, 3]
+    assert wordpiece.basic_tokens("a\tb c+d e-f $5\u00a0x.") == ["ab", "c+d", "e", "-", "f", "$5\u00a0x", "."]
+    assert wordpiece.model_path("m/", "arm64") == "m/model_qint8_arm64.onnx"
+    (tmp_path / "file.bin").write_bytes(b"abc")
+    assert wordpiece.file_sha256(spark, str(tmp_path / "file.bin")) == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert w.pieces("s" * 101) == ["[UNK]"]
     with pytest.raises(ValueError):
         wordpiece.WordPiece({"a": 0})
@@ -357,7 +362,7 @@ def test_wordpiece(spark, tmp_path):
     assert len(wordpiece.embed_with(table(spark, FIVE), "instruction", wordpiece.HashModel(64)).first().embedding) == 64
 
 
-@pytest.mark.parametrize("name", ["exact", "lsh"])
+@pytest.mark.parametrize("name", ["exact", "ivf"])
 def test_engine(spark, tmp_path, name):
     e = engine.create(name, folder=str(tmp_path / "index"))
     with pytest.raises(RuntimeError):
@@ -368,6 +373,9 @@ def test_engine(spark, tmp_path, name):
     assert tuple(e.stats().first()) == (4, 4, name)
     with pytest.raises(ValueError):
         e.search([1, 0])
+    again = engine.create(name, folder=str(tmp_path / "index")).open(spark)
+    assert tuple(again.stats().first()) == (4, 4, name) and again.health()["status"] == "ok" and sum(r.n for r in again.filter_counts().collect()) == 4
+    assert ids(again.rebuild(table(spark, FIVE[:2])).search([1, 0, 0, 0], 1)) == ["a1"] and again._last(spark) == 3
     with pytest.raises(ValueError):
         engine.create("cuda")
 
