@@ -1,25 +1,26 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 _BAD = "spam|pills|casino|bets|porn|viagra|warez"
+_SUF = r"(?:ac|co|com|edu|gov|net|org)\.[a-z][a-z]|[^.]*"
 _URLS = rf"""
 WITH cut AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, regexp_matches(coalesce(url, '') || coalesce(html, ''), '(?i){_BAD}') AS term, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+  SELECT page_id, term, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 base AS (
-  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+  SELECT page_id, term, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
 ruled AS (
-  SELECT page_id, host, path,
+  SELECT page_id, term, host, path,
     CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
          WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
          WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM base),
 seen AS (
-  SELECT host, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 WHEN regexp_matches(host, '{_BAD}') THEN 1 ELSE 0 END AS bad FROM ruled),
+  SELECT host, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 WHEN term THEN 1 ELSE 0 END AS bad FROM ruled),
 hosts AS (
   SELECT host,
-    CASE WHEN regexp_matches(host, '^[0-9.]*$') OR NOT contains(host, '.') THEN host ELSE regexp_extract(host, '[^.]*\.[^.]*$') END AS domain,
-    CASE WHEN regexp_matches(host, '^[0-9.]*$') THEN '' ELSE regexp_extract(host, '[^.]*$') END AS suffix,
+    CASE WHEN regexp_matches(host, '^[0-9.]*$') OR regexp_extract(host, '(^|\.)([^.]*\.({_SUF}))$', 2) = '' THEN host ELSE regexp_extract(host, '(^|\.)([^.]*\.({_SUF}))$', 2) END AS domain,
+    CASE WHEN regexp_matches(host, '^[0-9.]*$') THEN '' ELSE regexp_extract(host, '(^|\.)({_SUF})$', 2) END AS suffix,
     count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM seen GROUP BY host),
 doms AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 sufs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM doms GROUP BY suffix),
@@ -38,7 +39,10 @@ pr AS (
 m1 AS (SELECT suffix, (ss * m0 + bad) / (n + ss) AS m FROM sufs, pr),
 m2 AS (SELECT domain, doms.suffix AS suffix, (m1.m * sd + bad) / (n + sd) AS m FROM doms JOIN m1 ON doms.suffix = m1.suffix, pr),
 m3 AS (SELECT host, n + sh AS t, (m2.m * sh + bad) / (n + sh) AS m FROM hosts JOIN m2 ON hosts.domain = m2.domain AND hosts.suffix = m2.suffix, pr),
-known AS (SELECT host, round(m - 1.645 * sqrt(m * (1 - m) / (t + 1)), 6) > 0.5 AS blocked FROM m3)
+posterior AS (SELECT host, m * t AS a, (1 - m) * t AS b FROM m3),
+grid AS (SELECT host, a, b, ln(a / b) AS c, sqrt(1 / a + 1 / b) * (8.0::DOUBLE / 200) AS step, ln(a / b) + sqrt(1 / a + 1 / b) * (8.0::DOUBLE / 200) * i AS t FROM posterior, range(-200, 201) AS g(i)),
+dens AS (SELECT host, t, step, exp(a * t - (a + b) * (greatest(t, 0.0::DOUBLE) + ln(1 + exp(-abs(t)))) - (a * c - (a + b) * (greatest(c, 0.0::DOUBLE) + ln(1 + exp(-abs(c)))))) AS f FROM grid),
+known AS (SELECT host, round(sum(f * least(1.0::DOUBLE, greatest(0.0::DOUBLE, t / step + 0.5))) / sum(f), 6) >= 0.95 AS blocked FROM dens GROUP BY host)
 SELECT page_id, ruled.host AS host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN known ON ruled.host = known.host

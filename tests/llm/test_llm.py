@@ -433,6 +433,20 @@ def test_urls(spark):
     assert {got[200 + i].verdict for i in range(60)} == {"allow"}
 
 
+def test_registered_domains_and_posterior_mass(spark):
+    cases = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "x.xco.uk": ("xco.uk", "uk"), "www.a.com": ("a.com", "com"), "com": ("com", "com"), "10.0.0.1": ("10.0.0.1", ""), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in cases], "h string").select("h", urls.domain_of(F.col("h")).alias("d"), urls.suffix_of(F.col("h")).alias("s"))
+    assert {r.h: (r.d, r.s) for r in rows.collect()} == cases
+    rng = np.random.default_rng(2)
+    shapes = [(3.0, 3.0), (9.0, 2.5), (0.7, 4.0), (520.0, 480.0), (1e9, 1e8), (2.0, 1e-9)]
+    got = spark.createDataFrame(shapes, "a double, b double").select("a", urls.mass_above(F.col("a"), F.col("b")).alias("m")).collect()
+    for (a, b), r in zip(shapes, got, strict=True):
+        want = (rng.beta(a, b, 200_000) > 0.5).mean() if b > 1e-6 else 1.0
+        assert abs(r.m - want) < 0.006
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.io/{'casino' if i % 4 == 1 else 'x'}", "Buy VIAGRA" if i % 4 == 3 else None) for i in range(80)], "page_id long, url string, html string")
+    assert {r.host: r.verdict for r in urls.judge_urls(pages).collect()} == {"h0.io": "allow", "h1.io": "block"}
+
+
 def test_reputation_shrinks_small_hosts(spark):
     rows = [("big.bad.ru", 1)] * 50 + [("one.bad.ru", 1), ("one.ok.de", 1)] + [("big.ok.de", 0)] * 50 + [("a.de", None)]
     got = {r.host: r for r in urls.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
