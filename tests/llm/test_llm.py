@@ -293,7 +293,9 @@ def brute_contamination(docs, items):
     return sorted(out, key=repr)
 
 
-def test_contamination_against_brute_force(spark, corpus):
+@pytest.mark.parametrize("share", [2_000_000, 7])
+def test_contamination_against_brute_force(spark, corpus, monkeypatch, share):
+    monkeypatch.setattr(decontaminate, "SHARE", share)
     items = [(1, " ".join(corpus[100 - 18][1].split()[3:25]).upper()), (2, "word"), (10, corpus[3][1][:200]), (3, None), (4, "..."), (5, "nowhere at all to be found in any of these texts ever"), (6, "ÀÉ\U0001f600"), (2, "word")]
     got = decontaminate.contamination(frame(spark, corpus), spark.createDataFrame(items, "item_id long, text string"))
     assert rows_of(got) == brute_contamination(corpus, items)
