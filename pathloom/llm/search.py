@@ -1,17 +1,21 @@
-"""Exact BM25 top-k: an inverted index for each shard, block-max pruning, an exact merge with global statistics.
-
-Document frequencies, the number of documents and their mean length are counted over the whole corpus first, so that a
-score does not depend on the shard. Queries go round in blocks of ``QUERIES`` (the bound on what is broadcast). A task
-cuts its documents into shards of ``SHARD``, builds a shard's index (postings with BM25 term weights, and for each term
-the largest weight in each block of ``BLOCK`` documents) and keeps a running top k for each query:
-
-* the sum of a query's block maxima bounds every score in the block; a block that cannot pass the query's k-th best
-  score so far (the WAND threshold) is not scored for it;
-* blocks that can are scored: terms in many documents of the shard by a matrix product, the rest posting by posting;
-* whatever could be among the best k within float32 error is scored again in float64, terms in one fixed order, so
-  equal documents have equal scores and ties go to the smaller doc_id.
-
-Each task sends k rows a query; they merge by rank. The work is queries times documents by nature.
+"""Exact BM25 top-k: an inverted index for each shard, built once, block-max WAND pruning, an exact merge with global statistics.
+
+``build`` cuts the documents into shards and writes each shard's index as one row of a table in the shared folder, so no
+text is read again. Within a shard, documents with the same rarest words stand together, so that the maxima of blocks of
+``BLOCK`` documents differ. Document frequencies, the number of documents and their mean length come from all shards, so
+that a score does not depend on the shard. Queries go round in blocks of ``TERMS`` terms (the bound on what is broadcast,
+one block at a time). A task keeps the k-th best score of each query so far, the WAND threshold, which carries from shard
+to shard. WAND moves cursors document by document; here its two tests are made for all documents of a shard at once:
+
+* pivot: terms of few documents are scored posting by posting, and the best k of these, completed, raise the threshold.
+  Of the other terms those are set aside whose maxima together stay below the threshold (those with the most postings for
+  their maximum first): a document that has only such terms can be no pivot. The rest is scored;
+* block maxima: a document is a candidate only if its score so far and the maxima, in its block, of the terms set aside
+  reach the threshold. Only candidates are scored for these terms;
+* candidates within float32 error of the best k are scored again in float64, terms in one fixed order, so equal documents
+  have equal scores and ties go to the smaller doc_id.
+
+Each task sends k rows a query; they merge by rank. The work is queries times shards by nature.
 """
 
 from __future__ import annotations
@@ -19,15 +23,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import keep, spread
-from pathloom.llm.rolling import word_hashes
+from pathloom.llm.common import forget, keep, lookup, spread
+from pathloom.llm.rolling import mix, word_hashes
 
-K1, B, SHARD, BLOCK, QUERIES, BATCH, DENSE = 1.2, 0.75, 4096, 64, 4096, 512, 0.03
+#: Documents and characters of a shard (a longer text is a shard of its own), documents of a block, terms of a block of queries.
+K1, B, SHARD, CHARS, BLOCK, TERMS = 1.2, 0.75, 4096, 16_000_000, 8, 4_000_000
+#: Terms in a larger share of a shard's documents are kept as rows of a matrix; how far float32 sums may be off.
+DENSE, SLACK = 0.2, 0.9995
 CHUNK = 2_000_000
+INDEX = "sizes binary, terms binary, first binary, doc binary, tf binary"
 
 
 def _terms(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,208 +61,243 @@ def _terms(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(docs), np.concatenate(terms), np.concatenate(counts), sizes
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(kind, term, n): 0: documents with the term; 1: documents; 2: words."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = words = 0
-        for part in parts:
-            _, term, _, size = _terms(part["text"].tolist())
-            n, words = n + len(size), words + int(size.sum())
-            term, df = np.unique(term, return_counts=True)
-            yield pd.DataFrame({"kind": 0, "term": term.view(np.int64), "n": df})
-        yield pd.DataFrame({"kind": [1, 2], "term": 0, "n": [n, words]})
-
-    return spread(docs.select("text")).mapInPandas(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
+def _order(doc: np.ndarray, owner: np.ndarray, df: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+    """Documents by the smallest mixed hash of their terms that another document of the shard has too."""
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    shared = df[owner] > 1
+    if shared.any():
+        d, h = doc[shared], mix(terms)[owner[shared]]  # by doc
+        new = np.flatnonzero(np.diff(d, prepend=-1))
+        least[d[new]] = np.minimum.reduceat(h, new)
+    return np.argsort(least, kind="stable")
+
+
+def index_of(ids: list, texts: list) -> tuple[list, bytes, bytes, bytes, bytes, bytes]:
+    """A shard's index: ids in its order, words of each document, terms in order, their first postings, documents, counts."""
+    doc, term, tf, sizes = _terms(texts)
+    terms, owner, df = np.unique(term, return_inverse=True, return_counts=True)
+    order = _order(doc, owner, df, terms, len(texts))
+    place = np.empty(len(texts), dtype=np.int64)
+    place[order] = np.arange(len(texts))
+    doc = place[doc]
+    by = np.lexsort((doc, owner))
+    first = np.append(0, np.cumsum(df))
+    parts = (sizes[order], np.uint32), (terms, np.uint64), (first, np.uint32), (doc[by], np.uint16), (tf[by], np.uint32)
+    return [ids[i] for i in order.tolist()], *(x.astype(kind).tobytes() for x, kind in parts)
+
+
+def build(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The index of ``docs(doc_id, text)``: one row for each shard of up to ``shard`` documents (65,536 at most)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, total, of = [], [], 0, None
+
+        def row() -> pa.RecordBatch:
+            mine, *rest = index_of(ids, texts)
+            return pa.RecordBatch.from_arrays([pa.array([mine], pa.list_(of)), *(pa.array([x], pa.binary()) for x in rest)], ["ids", *(c.split()[0] for c in INDEX.split(", "))])
+
+        for batch in batches:
+            of = batch.schema.field("doc_id").type
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                size = len(text) if isinstance(text, str) else 0
+                if ids and (len(ids) == shard or total + size > CHARS):
+                    yield row()
+                    ids, texts, total = [], [], 0
+                ids.append(i)
+                texts.append(text)
+                total += size
+        if ids:
+            yield row()
 
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"ids array<{kind}>, {INDEX}")
 
-def _query_terms(queries: DataFrame) -> DataFrame:
-    kind = dict(queries.dtypes)["doc_id"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            doc, term, _, _ = _terms(part["text"].tolist())
-            yield pd.DataFrame({"query": part["doc_id"].to_numpy()[doc], "term": term.view(np.int64)})
+def statistics(index: DataFrame) -> DataFrame:
+    """(kind, term, n): 0: documents with the term; 1: documents; 2: words."""
 
-    return queries.select("doc_id", "text").mapInPandas(run, f"query {kind}, term long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sizes, terms, first in zip(*(batch.column(c).to_pylist() for c in ("sizes", "terms", "first")), strict=True):
+                sizes = np.frombuffer(sizes, np.uint32)
+                df = np.diff(np.frombuffer(first, np.uint32).astype(np.int64))
+                kind = np.append(np.zeros(len(df), np.int32), np.array([1, 2], np.int32))
+                term = np.append(np.frombuffer(terms, np.int64), [0, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(term), pa.array(np.append(df, [len(sizes), int(sizes.sum(dtype=np.int64))]))], ["kind", "term", "n"])
 
+    return index.select("sizes", "terms", "first").mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
 
-class _Batch:
-    """Queries as arrays sorted by term: term, query number, weight (inverse document frequency)."""
 
-    def __init__(self, query: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int):
-        order = np.lexsort((query, term))
-        self.query, self.term, self.idf, self.n = query[order], term[order], idf[order], n
+def _query_terms(queries: DataFrame) -> DataFrame:
+    kind = queries.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, term, _, _ = _terms(batch.column("text").to_pylist())
+            for a in range(0, len(doc), CHUNK):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[a : a + CHUNK])), pa.array(term[a : a + CHUNK].view(np.int64))], ["query", "term"])
 
-def _expand(batch: _Batch, terms: np.ndarray, first: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each (query, term) of the batch that the index has and ``skip`` does not hold: query, posting, weight."""
-    at = np.searchsorted(terms, batch.term)
-    at[at == len(terms)] = 0
-    ok = (terms[at] == batch.term) & ~skip[at]
-    at, query, idf = at[ok], batch.query[ok], batch.idf[ok]
-    n = first[at + 1] - first[at]
-    posting = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return np.repeat(query, n), posting, np.repeat(idf, n)
+    return queries.select("doc_id", "text").mapInArrow(run, f"query {kind}, term long").distinct()
 
 
 class Shard:
-    """An inverted index over up to ``SHARD`` documents."""
-
-    def __init__(self, texts: list, mean_words: float):
-        doc, term, tf, size = _terms(texts)
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean_words, 1e-9)))
-        order = np.lexsort((doc, term))
-        self.doc, self.weight, self.n = doc[order], weight[order], len(texts)
-        self.terms, first = np.unique(term[order], return_index=True)
-        self.first = np.append(first, len(order))
-        df = np.diff(self.first)
-        self.dense = np.flatnonzero(df > DENSE * self.n)
-        self.is_dense = np.zeros(len(self.terms), dtype=bool)
-        self.is_dense[self.dense] = True
-        owner = np.repeat(np.arange(len(self.terms)), df)
-        self.blocks = -(-self.n // BLOCK)
-        cell = owner * self.blocks + self.doc // BLOCK
-        new = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.block_of, self.block_max = cell[new] % max(1, self.blocks), np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.block_first = np.append(np.searchsorted(cell[new] // max(1, self.blocks), np.arange(len(self.terms))), len(new))
-        self.matrix = self._matrix(self.first, self.doc, self.weight, self.n)
-        self.block_matrix = self._matrix(self.block_first, self.block_of, self.block_max, self.blocks)
-
-    def _matrix(self, first: np.ndarray, row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-        out = np.zeros((rows, len(self.dense)), dtype=np.float32)
-        for j, t in enumerate(self.dense.tolist()):
-            out[row[first[t] : first[t + 1]], j] = value[first[t] : first[t + 1]]
-        return out
-
-    def _scores(self, batch: _Batch, first, row, value, rows: int, matrix: np.ndarray) -> np.ndarray:
-        q = np.zeros((len(self.dense), batch.n), dtype=np.float32)
-        at = np.searchsorted(self.terms[self.dense], batch.term)
-        at[at == len(self.dense)] = 0
-        if len(self.dense):
-            ok = self.terms[self.dense][at] == batch.term
-            q[at[ok], batch.query[ok]] = batch.idf[ok]
-        out = (matrix @ q).reshape(-1)
-        query, posting, idf = _expand(batch, self.terms, first, self.is_dense)
-        if len(query):
-            out += np.bincount(row[posting] * batch.n + query, idf * value[posting], minlength=rows * batch.n).astype(np.float32)
-        return out.reshape(rows, batch.n)
+    """An index row, opened: scores need only the mean number of words. ``touched`` counts the postings that were scored."""
 
-    def candidates(self, batch: _Batch, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, document) pairs among which the shard's best k above ``floor`` are."""
-        none = np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    def __init__(self, ids: list, sizes: bytes, terms: bytes, first: bytes, doc: bytes, tf: bytes, mean_words: float):
+        size, tf = np.frombuffer(sizes, np.uint32), np.frombuffer(tf, np.uint32)
+        self.ids, self.n, self.terms = ids, len(ids), np.frombuffer(terms, np.uint64)
+        self.first, self.doc = np.frombuffer(first, np.uint32).astype(np.int64), np.frombuffer(doc, np.uint16)
+        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(mean_words, 1e-9)))
+        df = np.diff(self.first)
+        often = np.flatnonzero(df > DENSE * self.n)
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.df = df[often]
+        blocks = -(-self.n // BLOCK)
+        self.matrix = np.zeros((len(often), blocks * BLOCK), dtype=np.float32)
+        for j, t in enumerate(often.tolist()):
+            some = slice(self.first[t], self.first[t + 1])
+            self.matrix[j, self.doc[some]] = self.weight[some]
+        self.block_max = self.matrix.reshape(len(often), blocks, BLOCK).max(axis=2)
+        self.most = self.block_max.max(axis=1, initial=0)
+        by = np.argsort(self.doc, kind="stable")
+        self.doc_first = np.append(0, np.cumsum(np.bincount(self.doc, minlength=self.n)))
+        self.doc_term, self.doc_weight = np.repeat(np.arange(len(self.terms)), df)[by], self.weight[by]
+        self.touched = 0
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each of ``terms`` in the shard, -1 for none."""
         if not len(self.terms):
-            return none
-        bound = self._scores(batch, self.block_first, self.block_of, self.block_max, self.blocks, self.block_matrix)
-        open_ = bound * 1.001 >= floor
-        live = np.flatnonzero(open_.any(axis=1))
-        if not len(live):
-            return none
-        score = self._scores(batch, self.first, self.doc, self.weight, self.n, self.matrix)
-        if len(live) < self.blocks:
-            score = np.where(np.repeat(open_, BLOCK, axis=0)[: self.n], score, 0)
-        kth = np.partition(score, self.n - k, axis=0)[self.n - k] if self.n > k else score.min(axis=0)
-        least = np.maximum(np.maximum(kth, floor) * 0.9995, 1e-9)
-        doc, query = np.nonzero(score >= least)
-        return query, doc
-
-    def exact(self, query_terms: tuple[np.ndarray, np.ndarray], docs: np.ndarray) -> np.ndarray:
-        """Scores of ``docs`` for one query in float64, terms in order of their hash."""
-        term, idf = query_terms
-        at = np.searchsorted(self.terms, term)
+            return np.full(len(terms), -1)
+        at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
-        ok = self.terms[at] == term
-        place = np.full(self.n, -1)
-        place[docs] = np.arange(len(docs))
-        out = np.zeros(len(docs))
-        n = self.first[at[ok] + 1] - self.first[at[ok]]
-        posting = np.repeat(self.first[at[ok]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        who = place[self.doc[posting]]
-        here = who >= 0
-        np.add.at(out, who[here], (np.repeat(idf[ok], n) * self.weight[posting])[here])
-        return out
-
-
-def _search(docs: DataFrame, query: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int, k: int, mean_words: float) -> DataFrame:
-    """(q, doc_id, score): the best k of each task for each query number."""
-    kind = dict(docs.dtypes)["doc_id"]
+        at[self.terms[at] != terms] = -1
+        return at
+
+    def candidates(self, t: np.ndarray, idf: np.ndarray, k: int, floor: float) -> np.ndarray:
+        """Documents among which the best ``k`` that reach ``floor`` are, for the terms with numbers ``t`` and weights ``idf``."""
+        row = self.row[t]
+        few, many = row < 0, row >= 0
+        n = self.first[t[few] + 1] - self.first[t[few]]
+        posting = np.repeat(self.first[t[few]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.doc[posting], np.repeat(idf[few], n) * self.weight[posting], minlength=self.matrix.shape[1]).astype(np.float64)  # integers if there is nothing
+        self.touched += len(posting)
+        row, idf = row[many], idf[many].astype(np.float32)
+        if self.n > k and len(row):
+            top = np.argpartition(score, len(score) - k)[len(score) - k :]
+            floor = max(floor, SLACK * float((score[top] + idf @ self.matrix[np.ix_(row, top)]).min()))
+            self.touched += k * len(row)
+        most = idf * self.most[row]
+        order = np.argsort(most / self.df[row])
+        aside = int(np.searchsorted(np.cumsum(most[order], dtype=np.float64), SLACK * floor))
+        rest, now = order[:aside], order[aside:]
+        if len(now):
+            score += idf[now] @ self.matrix[row[now]]
+            self.touched += int(self.df[row[now]].sum())
+        bound = score
+        if len(rest):
+            bound = score + np.repeat(idf[rest] @ self.block_max[row[rest]], BLOCK)
+        found = np.flatnonzero((bound >= SLACK * floor) & (bound > 0))
+        score = score[found]
+        if len(rest) and len(found):
+            score = score + idf[rest] @ self.matrix[np.ix_(row[rest], found)]
+            self.touched += len(rest) * len(found)
+        if len(found) > k:
+            floor = max(floor, float(np.partition(score, len(score) - k)[len(score) - k]))
+        return found[(score >= SLACK * floor) & (score > 0)]
+
+    def exact(self, t: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of ``docs`` in float64, terms in order of their hash (``t`` is in order)."""
+        n = self.doc_first[docs + 1] - self.doc_first[docs]
+        posting = np.repeat(self.doc_first[docs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = np.searchsorted(t, self.doc_term[posting])
+        at[at == len(t)] = 0
+        ok = t[at] == self.doc_term[posting]
+        return np.bincount(np.repeat(np.arange(len(docs)), n)[ok], idf[at[ok]] * self.doc_weight[posting[ok]], minlength=len(docs)).astype(np.float64)
+
+
+def _search(index: DataFrame, query: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int, k: int, mean_words: float) -> DataFrame:
+    """(q, doc_id, score), kept: the best k of each task for each query number."""
+    kind = index.schema["ids"].dataType.elementType.simpleString()
     order = np.lexsort((term, query))
-    shared = docs.sparkSession.sparkContext.broadcast((query[order], term[order], idf[order]))
+    shared = index.sparkSession.sparkContext.broadcast((query[order], term[order], idf[order]))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, term, idf = shared.value
-        first = np.searchsorted(query, np.arange(n + 1))
-        batches = [(a, _Batch(query[first[a] : first[z]] - a, term[first[a] : first[z]], idf[first[a] : first[z]], z - a)) for a in range(0, n, BATCH) for z in [min(n, a + BATCH)]]
+        first = np.searchsorted(query, np.arange(n + 1)).tolist()
+        every, which = np.unique(term, return_inverse=True)
         best: list[list[tuple]] = [[] for _ in range(n)]
-        floor = np.full(n, 1e-9, dtype=np.float32)
-
-        def search(ids: list, texts: list) -> None:
-            shard = Shard(texts, mean_words)
-            for a, batch in batches:
-                q, d = shard.candidates(batch, k, floor[a : a + batch.n])
-                order = np.argsort(q, kind="stable")
-                q, d = q[order], d[order]
-                cut = np.flatnonzero(np.diff(q, prepend=-1))
-                for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(q)], strict=False):
-                    who = a + int(q[lo])
-                    found = shard.exact((term[first[who] : first[who + 1]], idf[first[who] : first[who + 1]]), d[lo:hi])
-                    mine = [*best[who], *((-round(s, 9), ids[i]) for s, i in zip(found.tolist(), d[lo:hi].tolist(), strict=True) if s > 0)]
-                    best[who] = sorted(mine, key=lambda x: (x[0], x[1] is None, x[1] or 0))[:k]
-                    if len(best[who]) == k:
-                        floor[who] = -best[who][-1][0]
-
-        ids, texts = [], []
-        for part in parts:
-            ids += [None if pd.isna(x) else x for x in part["doc_id"].tolist()]
-            texts += part["text"].tolist()
-            while len(ids) >= SHARD:
-                search(ids[:SHARD], texts[:SHARD])
-                ids, texts = ids[SHARD:], texts[SHARD:]
-        if ids:
-            search(ids, texts)
+        floor, of = [0.0] * n, None
+
+        def search(shard: Shard) -> None:
+            place = shard.places(every)[which]
+            for q in range(n):
+                t, w = place[first[q] : first[q + 1]], idf[first[q] : first[q + 1]]
+                t, w = t[t >= 0], w[t >= 0]
+                docs = shard.candidates(t, w, k, floor[q]) if len(t) else t
+                if len(docs):
+                    found = shard.exact(t, w, docs)
+                    mine = [*best[q], *((-round(s, 9), shard.ids[i]) for s, i in zip(found.tolist(), docs.tolist(), strict=True) if s > 0)]
+                    best[q] = sorted(mine, key=lambda x: (x[0], x[1] is None, x[1] or 0))[:k]
+                    if len(best[q]) == k:
+                        floor[q] = -best[q][-1][0]
+
+        for batch in batches:
+            of = batch.schema.field("ids").type.value_type
+            for i in range(batch.num_rows):
+                search(Shard(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "terms", "first", "doc", "tf")), mean_words))
         got = [(q, doc, -s) for q, rows in enumerate(best) for s, doc in rows]
         for a in range(0, len(got), 100_000):
-            yield pd.DataFrame(got[a : a + 100_000], columns=["q", "doc_id", "score"])
+            q, doc, s = zip(*got[a : a + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(doc, of), pa.array(s, pa.float64())], ["q", "doc_id", "score"])
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, f"q int, doc_id {kind}, score double")
+    found = keep(spread(index).mapInArrow(run, f"q int, doc_id {kind}, score double"))
+    shared.destroy()
+    return found
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, terms: int = TERMS) -> DataFrame:
     """query_id, rank, doc_id, score: the ``k`` best documents for each row of ``queries(doc_id, text)``.
 
     A query is the set of its text's words; it finds itself if it is in ``docs``. Documents without a common word are not
     found, so a null or empty text finds and is found by none. Equal scores rank by doc_id, null last; rows that repeat
-    a document are found each. Queries with equal doc_id are one query of all their words; those of null doc_id are left out.
+    a document are found each. Queries with equal doc_id are one query of all their words; those of null doc_id are left
+    out. Columns but doc_id and text are not read. ``shard`` and ``terms`` bound memory and do not change the result.
     """
-    spark = docs.sparkSession
-    stats = keep(statistics(docs))
+    index = keep(build(docs, shard))
+    stats = keep(statistics(index))
     known = {r.kind: r.n for r in stats.where("kind > 0").collect()}
     total, words = known.get(1, 0), known.get(2, 0)
-    terms = _query_terms(queries.where("doc_id is not null")).join(stats.where("kind = 0").select("term", F.col("n").alias("df")), "term")
-    terms = keep(terms)
-    numbers = keep(_numbered(terms.select("query").distinct()))
-    count = numbers.count()
-    out = None
-    for a in range(0, count, QUERIES):
-        some = numbers.where((F.col("q") >= a) & (F.col("q") < a + QUERIES))
-        got = terms.join(F.broadcast(some), "query").select("q", "term", "df").toArrow()
+    asked = keep(_query_terms(queries.where("doc_id is not null")))
+    used = keep(asked.groupBy("term").agg(F.count("*").alias("uses")).join(stats.where("kind = 0").select("term", F.col("n").alias("df")), "term"))
+    asked = lookup(asked, used, ["term"], "uses").select("query", "term", "df")
+    numbers = keep(_numbered(asked, terms))
+    asked = keep(asked.join(numbers, "query").select("q", "block", "term", "df"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.sparkSession.createDataFrame([], f"q long, doc_id {kind}, score double")
+    for block in range((numbers.agg(F.max("block")).first()[0] or 0) + 1):
+        got = asked.where(F.col("block") == block).select("q", "term", "df").toArrow()  # ``terms`` and one query at most
         query, term, df = (got[c].to_numpy() for c in ("q", "term", "df"))
-        idf = np.log1p((total - df + 0.5) / (df + 0.5))
-        found = _search(docs, (query - a).astype(np.int64), np.ascontiguousarray(term).view(np.uint64), idf, min(QUERIES, count - a), k, words / max(1, total))
-        found = found.withColumn("q", F.col("q") + F.lit(a).cast("long"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        kind = dict(docs.dtypes)["doc_id"]
-        out = spark.createDataFrame([], f"q long, doc_id {kind}, score double")
+        if len(query):
+            a, n = int(query.min()), int(query.max() - query.min()) + 1
+            found = _search(index, (query - a).astype(np.int32), np.ascontiguousarray(term).view(np.uint64), np.log1p((total - df + 0.5) / (df + 0.5)), n, k, words / max(1, total))
+            out = out.unionByName(found.withColumn("q", F.col("q") + F.lit(a).cast("long")))
+    for table in (index, stats, used, asked):
+        forget(table)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     best = out.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.join(numbers, "q").select(F.col("query").alias("query_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-def _numbered(queries: DataFrame) -> DataFrame:
-    """Consecutive numbers for the queries: places within hash buckets after the buckets' totals."""
-    rows = queries.withColumn("bucket", F.pmod(F.xxhash64("query"), F.lit(1024)))
-    base = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    base = base.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("query")) - 1
-    return rows.withColumn("place", place).join(F.broadcast(base), "bucket").select("query", (F.col("base") + F.col("place")).alias("q"))
+def _numbered(asked: DataFrame, terms: int) -> DataFrame:
+    """(query, q, block) for ``asked(query, term)``: consecutive numbers, and blocks of about ``terms`` rows of ``asked`` in that order.
+
+    Places and rows come from running sums within hash buckets after the buckets' totals."""
+    rows = keep(asked.groupBy("query").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("query"), F.lit(1024))))
+    base = rows.groupBy("bucket").agg(F.count("*").alias("queries"), F.sum("n").alias("rows"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 1024 rows at most
+    base = base.select("bucket", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("queries", "rows")))
+    here = Window.partitionBy("bucket").orderBy("query")
+    q, row = F.row_number().over(here) - 1, F.sum("n").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = rows.withColumns({"at": q, "row": row}).join(F.broadcast(base), "bucket")
+    return placed.select("query", (F.col("queries") + F.col("at")).alias("q"), F.floor((F.col("rows") + F.col("row")) / terms).cast("int").alias("block"))

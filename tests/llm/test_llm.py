@@ -472,6 +472,37 @@ def test_top_k_against_brute_force(spark, corpus):
         assert [r.doc_id for r in got[q]] == [i for _, i in want] and [r.score for r in got[q]] == pytest.approx([-s for s, _ in want], abs=2e-6)
 
 
+def test_top_k_by_shards_and_blocks(spark, corpus):
+    docs = frame(spark, corpus)
+    asked = docs.where("doc_id % 5 = 0")
+    want = [tuple(r) for r in search.top_k(docs, asked, 5).orderBy("query_id", "rank").collect()]
+    for shard, terms in ((7, 100), (1, 1_000_000), (40, 1)):
+        assert [tuple(r) for r in search.top_k(docs, asked, 5, shard, terms).orderBy("query_id", "rank").collect()] == want
+
+
+def test_top_k_prunes():
+    """Over texts of thirty subjects and some words common to all, under half of the queries' postings are scored, with the same result."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 60, 75)), *(f"s{i % 30}x{x}" for x in rng.integers(0, 300, 75))]) for i in range(3000)]
+    shards = [search.Shard(*search.index_of(list(range(a, a + 1000)), texts[a : a + 1000]), 150.0) for a in range(0, 3000, 1000)]
+    df = Counter(x for s in shards for x, n in zip(s.terms.tolist(), np.diff(s.first).tolist(), strict=True) for _ in range(n))
+    every = 0
+    for q in range(0, 3000, 100):
+        _, term, _, _ = search._terms([texts[q]])
+        idf = np.array([np.log1p((3000 - df[x] + 0.5) / (df[x] + 0.5)) for x in term.tolist()])
+        best, full, floor = [], [], 0.0
+        for s in shards:
+            t = s.places(term)
+            t, w = t[t >= 0], idf[t >= 0]
+            every += int(np.diff(s.first)[t].sum())
+            full += [(-round(x, 9), s.ids[i]) for i, x in enumerate(s.exact(t, w, np.arange(s.n)).tolist()) if x > 0]
+            docs = s.candidates(t, w, 10, floor)
+            best = sorted([*best, *((-round(x, 9), s.ids[i]) for i, x in zip(docs.tolist(), s.exact(t, w, docs).tolist(), strict=True))])[:10]
+            floor = -best[-1][0] if len(best) == 10 else 0.0
+        assert best == sorted(full)[:10]
+    assert sum(s.touched for s in shards) < 0.5 * every
+
+
 def held(i, by):
     return zlib.crc32(str(i).encode()) % by
 
