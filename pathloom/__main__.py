@@ -1,4 +1,4 @@
-"""``python -m pathloom <command>``: import, embed, report, evaluate, inject-failures, evaluate-recovery, benchmark, search."""
+"""``python -m pathloom <command>``: import, embed, report, evaluate, inject-failures, evaluate-recovery, benchmark, search, serve."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pathloom import engine, sinks
+from pathloom import engine, serve, sinks
 from pathloom.functions.hashing import with_hash_embedding
 from pathloom.functions.wordpiece import OnnxModel, WordPiece, embed_with
 from pathloom.operators import dedup, inject, knn, labels, metrics, recovery, report, sampling
+from pathloom.scratch import keep
 from pathloom.sources import readers
 from pathloom.sources.parse import embedding_text
 from pathloom.streaming.imports import import_rows
@@ -25,12 +26,12 @@ def _import(spark, a):
     if a.rows_file:
         raw = readers.read_rows_file(spark, a.rows_file, a.limit)
     elif a.shards:
-        raw = readers.read_shards(spark, readers.list_shards(spark, a.shards, a.config, a.split), a.limit)
+        raw = readers.read_shards(spark, readers.list_shards(spark, a.shards, a.config, a.split), a.limit, a.workers)
     else:
         raw = import_rows(spark, f"{a.output}.rows", f"{a.output}.partial", url=a.url, dataset=a.dataset or "", config=a.config or "", split=a.split or "", offset=a.offset, limit=a.limit)
     df = readers.trajectories_of(raw, a.dimension)
     sinks.write_trajectories(df, a.output)
-    return sinks.import_summary(df)
+    return sinks.import_summary(df).withColumn("bytes", F.lit(sinks.stored_bytes(spark, a.output)))
 
 
 def _embed(spark, a):
@@ -46,12 +47,13 @@ def _embed(spark, a):
 
 def _report(spark, a):
     df = readers.read_trajectories(spark, a.data)
-    stats = dedup.group_stats(dedup.duplicate_members(df, a.threshold, a.candidates))
-    return report.dataset_report(df).crossJoin(stats)  # one row each
+    groups = keep(dedup.duplicate_groups(df, a.threshold, a.candidates))
+    stats = dedup.group_stats(groups.select(F.col("canonical_id").alias("root"), F.explode("member_ids")))
+    return report.dataset_report(df).crossJoin(stats).crossJoin(dedup.first_groups(groups))  # one row each
 
 
 def _evaluate(spark, a):
-    return labels.evaluate(readers.read_labels(spark, a.labels), readers.read_trajectories(spark, a.data), a.k, a.threshold)
+    return labels.report(readers.read_labels(spark, a.labels), readers.read_trajectories(spark, a.data), a.k, a.threshold)
 
 
 def _inject(spark, a):
@@ -101,10 +103,22 @@ def _search(spark, a):
     return engine.create(a.strategy).rebuild(readers.read_trajectories(spark, a.data)).search_by_id(a.id, a.k)
 
 
-COMMANDS = {"import": _import, "embed": _embed, "report": _report, "evaluate": _evaluate, "inject-failures": _inject, "evaluate-recovery": _recovery, "benchmark": _benchmark, "search": _search}
+def _serve(spark, a):
+    """Until interrupted."""
+    built = engine.create(a.strategy).rebuild(readers.read_trajectories(spark, a.data))
+    http = serve.server(serve.Service(spark, built), a.port)
+    print(f"port {http.server_port}", flush=True)
+    try:
+        http.serve_forever()
+    except KeyboardInterrupt:
+        pass
+    return built.stats()
+
+
+COMMANDS = {"import": _import, "embed": _embed, "report": _report, "evaluate": _evaluate, "inject-failures": _inject, "evaluate-recovery": _recovery, "benchmark": _benchmark, "search": _search, "serve": _serve}
 OPTIONS = {
     "data": str, "output": str, "labels": str, "pairs": str, "rows-file": str, "shards": str, "url": str, "dataset": str, "config": str, "split": str, "model": str, "vocabulary": str, "strategy": str, "id": str,
-    "offset": (int, 0), "limit": (int, 500), "dimension": (int, 256), "batch": (int, 16), "max-length": (int, 256), "k": (int, 5), "count": (int, 57), "queries": (int, 500), "candidates": (int, 10), "threshold": (float, 0.92),
+    "offset": (int, 0), "limit": (int, 500), "dimension": (int, 256), "batch": (int, 16), "max-length": (int, 256), "k": (int, 5), "count": (int, 57), "queries": (int, 500), "candidates": (int, 10), "workers": (int, 4), "port": (int, 8080), "threshold": (float, 0.92),
 }
 
 

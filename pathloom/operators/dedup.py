@@ -52,6 +52,12 @@ def duplicate_groups(df: DataFrame, threshold: float = 0.985, candidates: int =
     return lists.join(group_means(members, df), "root").select(F.col("root").alias("canonical_id"), "member_ids", "mean_cos")
 
 
+def first_groups(groups: DataFrame, n: int = 10) -> DataFrame:
+    """One row: the first ``n`` groups by canonical id, as a list."""
+    some = groups.orderBy("canonical_id").limit(n)
+    return some.agg(F.array_sort(F.collect_list(F.struct("canonical_id", "member_ids", "mean_cos"))).alias("first_groups"))
+
+
 def group_stats(members: DataFrame) -> DataFrame:
     """One row: groups, members, largest."""
     sizes = members.groupBy("root").agg(F.count("*").alias("n"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.vectors import score
 from pathloom.operators import metrics
 from pathloom.operators.knn import neighbours
+from pathloom.scratch import keep
 
 
 def label_problems(labels: dict[str, DataFrame], corpus: DataFrame) -> DataFrame:
@@ -37,11 +39,29 @@ def validate_labels(labels: dict[str, DataFrame], corpus: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.rule} ({r.detail})" for r in bad))
 
 
+def query_results(labels: dict[str, DataFrame], corpus: DataFrame, k: int = 5) -> DataFrame:
+    """``retrieval`` with label, instruction and ``results``, the ranked (id, instruction, score) of each query."""
+    rows = labels["retrieval"]
+    asked = corpus.join(rows.select("id").distinct(), "id", "left_semi").select("id", "embedding", "platform", "app")
+    ranked = keep(neighbours(asked, corpus.select("id", "embedding", "platform", "app"), k))
+    texts = corpus.select("id", "instruction")
+    found = ranked.join(texts, "id").select("qid", F.struct("rank", "id", "instruction", score(F.col("cos")).alias("score")).alias("r"))
+    lists = found.groupBy("qid").agg(F.array_sort(F.collect_list("r")).alias("r"))  # k of a query at most
+    lists = lists.select("qid", F.transform("r", lambda x: F.struct(x["id"].alias("id"), x["instruction"].alias("instruction"), x["score"].alias("score"))).alias("results"))
+    names = rows.groupBy(F.col("id").alias("qid")).agg(F.min_by("label", "ordinal").alias("label"))
+    out = _measured(rows, ranked, k).join(names, "qid").join(texts.withColumnRenamed("id", "qid"), "qid").join(lists, "qid", "left")
+    return out.withColumnRenamed("qid", "queryId").withColumn("results", F.coalesce("results", F.array().cast(lists.schema["results"].dataType)))
+
+
 def retrieval(labels: dict[str, DataFrame], corpus: DataFrame, k: int = 5) -> DataFrame:
     """Metrics of each labelled row as a query among rows of its platform and app, with ``ordinal`` (place in the label set)."""
     rows = labels["retrieval"]
     asked = corpus.join(rows.select("id").distinct(), "id", "left_semi").select("id", "embedding", "platform", "app")
     ranked = neighbours(asked, corpus.select("id", "embedding", "platform", "app"), k)
+    return _measured(rows, ranked, k)
+
+
+def _measured(rows: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     other = rows.select("label", F.col("id").alias("other"))
     relevant = rows.join(other, "label").where("id <> other").select(F.col("id").alias("qid"), F.col("other").alias("id"))
     places = rows.groupBy(F.col("id").alias("qid")).agg(F.min("ordinal").alias("ordinal"))
@@ -72,3 +92,19 @@ def evaluate(labels: dict[str, DataFrame], corpus: DataFrame, k: int = 5, thresh
     one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
     parts = one(metrics.retrieval_summary(retrieval(labels, corpus, k)), "retrieval"), one(at, "deduplication"), one(best, "calibrated")
     return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
+
+
+def report(labels: dict[str, DataFrame], corpus: DataFrame, k: int = 5, threshold: float = 0.92) -> DataFrame:
+    """``evaluate`` with the ten queries of lowest recall, the sweep of thresholds and the twenty worst pairs, as lists."""
+    lowest = lowest_recall(query_results(labels, corpus, k))
+    cols = ("recall", "ordinal", "queryId", "label", "instruction", "relevant", "hits", "precision", "first_rank", "rr", "results")
+    scored = keep(scored_pairs(labels, corpus))
+    sweep = metrics.confusion(scored, metrics.sweep_thresholds(corpus.sparkSession))
+    left, right = (corpus.select(F.col("id").alias(f"{x}_id"), F.col("instruction").alias(f"{x}Instruction")) for x in ("left", "right"))
+    wrong = worst_errors(scored, threshold).join(left, "left_id").join(right, "right_id")
+    kind = F.when(F.col("duplicate"), "false-negative").otherwise("false-positive").alias("errorType")
+    error = F.struct((-F.col("cos")).alias("order"), F.col("left_id").alias("leftId"), F.col("right_id").alias("rightId"), kind, "leftInstruction", "rightInstruction", F.col("cos").alias("similarity"))
+    listed = lambda df, one, name: df.agg(F.array_sort(F.collect_list(one)).alias(name))
+    out = evaluate(labels, corpus, k, threshold).crossJoin(listed(lowest, F.struct(*cols), "lowestRecallQueries"))  # one row each
+    out = out.crossJoin(listed(sweep, F.struct("threshold", *[c for c in sweep.columns if c != "threshold"]), "thresholdSweep"))
+    return out.crossJoin(listed(wrong, error, "errors").withColumn("errors", F.transform("errors", lambda e: e.dropFields("order"))))

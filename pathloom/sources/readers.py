@@ -6,6 +6,10 @@ unknown keys are dropped.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,7 @@ from pathloom.schema import FAILURE_PAIRS, LABELS, ROWS_FILE, TRAJECTORY, normal
 from pathloom.sources.parse import parse_rows
 
 MAX_ROWS = 100_000
+MAX_WORKERS = 16
 
 
 def _json(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -73,20 +78,38 @@ def list_shards(spark: SparkSession, folder: str, config: str | None = None, spl
     return sorted(out, key=lambda x: (x.rpartition("/")[2], x))
 
 
-def read_shards(spark: SparkSession, files: list[str], limit: int | None = None) -> DataFrame:
+def attempt(job: Callable, attempts: int = 3, wait: float = 2.0):
+    """The result of ``job``, tried again after ``wait`` seconds, then twice ``wait`` and so on."""
+    for n in range(1, attempts + 1):
+        try:
+            return job()
+        except Exception as e:
+            if n == attempts:
+                raise RuntimeError(f"failed in {attempts} attempts") from e
+            time.sleep(wait * n)
+    raise ValueError("no attempts")
+
+
+def read_shards(spark: SparkSession, files: list[str], limit: int | None = None, workers: int = 4) -> DataFrame:
     """Raw rows of Parquet shards in order of ``files``, ``row_idx`` counted across them.
 
     Row numbers come from each file's own row index plus the rows of the files before it (from the footers), so nothing
-    is sorted, and files beyond ``limit`` are never opened for data."""
+    is sorted. ``workers`` files are counted at once, each in up to three attempts; files beyond ``limit`` are never opened for data."""
     if not files:
         raise ValueError("no shards")
+    if not 1 <= workers <= MAX_WORKERS:
+        raise ValueError(f"workers must be 1 to {MAX_WORKERS}")
     base, used, total = [], [], 0
-    for name in files:
-        if limit is not None and total >= limit:
-            break
-        base.append((name, total))
-        used.append(name)
-        total += spark.read.parquet(name).count()
+    with ThreadPoolExecutor(workers) as pool:
+        for a in range(0, len(files), workers):
+            if limit is not None and total >= limit:
+                break
+            wave = files[a : a + workers]
+            for name, n in zip(wave, pool.map(lambda name: attempt(spark.read.parquet(name).count), wave), strict=True):
+                if limit is None or total < limit:
+                    base.append((name, total))
+                    used.append(name)
+                    total += n
     if limit is not None and total < limit:
         raise ValueError(f"{limit} rows wanted, {total} there")
     tail = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
