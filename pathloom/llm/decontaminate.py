@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded, keep, same
+from pathloom.llm.common import bounded, fresh, keep, same
 
 WINDOW, SHINGLE = 10, 3
 #: Shingles of the benchmark that are broadcast at once, about.
@@ -29,8 +29,6 @@ _OTHER = "".join(c for c in map(chr, range(128)) if not (c.isdigit() or c.islowe
 _FOLDED = "".join(c.lower() if c.isalpha() else " " for c in _OTHER)
 #: Stands once for each document among its shingles, so that one pass also counts words.
 DOCUMENT = -7046029254386353131
-#: The column that tells rows of one doc_id apart.
-MARK = "_text_mark"
 
 
 def words_of(text: Column) -> Column:
@@ -116,6 +114,7 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs; rows that share a doc_id are told apart by text."""
-    bad = _verdicts(docs, benchmark).where("contaminated").select("doc_id", F.col("mark").alias(MARK)).distinct()
-    rows = docs.withColumn(MARK, F.xxhash64("text"))
-    return rows.join(bad, same(rows, bad, "doc_id", MARK), "left_anti").drop(MARK)
+    (mark,) = fresh(docs.columns, "_text_mark")
+    bad = _verdicts(docs, benchmark).where("contaminated").select("doc_id", F.col("mark").alias(mark)).distinct()
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    return rows.join(bad, same(rows, bad, "doc_id", mark), "left_anti").drop(mark)

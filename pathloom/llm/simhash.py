@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded, keep, lookup, same, spread
+from pathloom.llm.common import bounded, fresh, keep, lookup, same, spread
 from pathloom.operators.components import connected_components
 
 D, LEAF, NODE, WORDS = 2, 32, 2048, 3
@@ -36,8 +36,6 @@ D, LEAF, NODE, WORDS = 2, 32, 2048, 3
 STAGE_WORDS, SIMILARITY, BANDS, BAND = 5, 0.8, 16, 3
 #: Sets, and shingles in all, up to which the sets under a key are compared in one task.
 PART, PART_SHINGLES = 1024, 2_000_000
-#: The column that tells rows of one doc_id apart while the stage runs.
-MARK = "_text_mark"
 MULTIPLIERS = np.random.default_rng(23).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = bytes(range(65, 91)), bytes(range(97, 123))
 TO_LOWER = bytes.maketrans(*SPACE)
@@ -309,12 +307,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     named = keep(first.join(roots, first["sid"] == roots["id"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "first", "size"))
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))
     groups = lookup(found, keep(named.join(stays, "root").select("sid", "stays", "size")), ["sid"], "size")
-    gone = bounded(keep(groups.where(_order() != F.col("stays")).select("doc_id", "mark").distinct()).withColumnRenamed("mark", MARK))
-    kept = docs.withColumn(MARK, F.xxhash64("text"))
-    kept = kept.join(gone, same(kept, gone, "doc_id", MARK), "left_anti")
-    again = keep(found.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.col("mark").alias(MARK)))
+    (mark,) = fresh(docs.columns, "_text_mark")
+    gone = bounded(keep(groups.where(_order() != F.col("stays")).select("doc_id", "mark").distinct()).withColumnRenamed("mark", mark))
+    kept = docs.withColumn(mark, F.xxhash64("text"))
+    kept = kept.join(gone, same(kept, gone, "doc_id", mark), "left_anti")
+    again = keep(found.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.col("mark").alias(mark)))
     if again.isEmpty():
-        return kept.drop(MARK)
+        return kept.drop(mark)
     again = bounded(again)
-    once, more = (kept.join(again, same(kept, again, "doc_id", MARK), how) for how in ("left_anti", "left_semi"))
-    return once.unionByName(more.dropDuplicates(["doc_id", MARK])).drop(MARK)
+    once, more = (kept.join(again, same(kept, again, "doc_id", mark), how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates(["doc_id", mark])).drop(mark)
