@@ -16,7 +16,7 @@ has that hash, how often it stands, and the least and greatest hash of what its
 3. What is left are classes of runs that share an anchor but not all bytes (the edges of a passage, the edits of a near
    copy). Of each class the covered bytes of one run are read again; the classes of an anchor meet and their windows are
    compared by anchor and window hash: 128 bits. An anchor of over ``LOCAL`` classes does not meet in one task: its windows
-   become rows, counted by aggregation.
+   are counted by aggregation.
 
 Counts are combined before each shuffle, hot anchors and classes are joined by a broadcast of at most a thousand keys, and
 no group of equal strings is ever gathered, so a passage that stands in a third of all documents costs one row for each
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded, forget, keep, lookup, same, spread
+from pathloom.llm.common import BROADCAST_ROWS, bounded, forget, keep, lookup, same, spread
 from pathloom.llm.rolling import Rolling, mix
 
 LENGTH, GRAM, CHUNK = 200, 48, 1_000_000
@@ -189,6 +189,12 @@ def repeated_in(group: np.ndarray, lone: np.ndarray, rows: list[bytes]) -> tuple
     hit = np.zeros(len(who) + 1, dtype=bool)
     hit[order[:-1][pair]] = hit[order[1:][pair]] = True
     hit[:-1] &= lone[who]
+    return stretches(who, place, hit[:-1])
+
+
+def stretches(who: np.ndarray, place: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of hit windows: string number, first window, windows."""
+    hit = np.append(hit, False)
     begin = np.flatnonzero(hit[:-1] & ((place == 0) | ~np.append(False, hit[:-2])))
     last = np.flatnonzero(hit[:-1] & (~hit[1:] | np.append(place[1:] == 0, True)))
     return who[begin], place[begin], last - begin + 1
@@ -218,21 +224,53 @@ def _compared(rows: DataFrame) -> DataFrame:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """As ``_compared``, for anchors of any number of classes: windows as rows."""
+    """As ``_compared``, for anchors of any number of classes: windows are counted by aggregation.
+
+    Up to ``BROADCAST_ROWS`` windows that repeat are listed by anchor to all tasks, which look their strings' windows up and
+    give runs of them; beyond, windows become rows and meet the repeated ones in a join, hot ones apart."""
     kind = dict(rows.dtypes)["doc_id"]
+    rows = keep(rows.drop("many").dropDuplicates(["ah", "doc_id", "mark", "lo"]))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
         for part in parts:
             for a, z in batches([len(b) for b in part["b"]]):
                 some = part.iloc[a:z]
-                who, place, wh = windows_in(some["b"].tolist())
-                cols = {c: some[c].to_numpy()[who] for c in ("ah", "lone", "doc_id", "mark")}
+                yield some, *windows_in(some["b"].tolist())
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some, who, _, wh in chunks(parts):
+            got = pd.DataFrame({c: some[c].to_numpy()[who] for c in ("ah", "lone")} | {"wh": wh.view(np.int64)})
+            yield got.groupby(["ah", "wh"], as_index=False).agg(k=("lone", "size"), lone=("lone", "max"))
+
+    counts = rows.mapInPandas(count, "ah long, wh long, k long, lone boolean").groupBy("ah", "wh").agg(F.sum("k").alias("k"), F.max("lone").alias("lone"))
+    twice = keep(counts.where("k > 1 and lone").drop("lone"))
+    lone = rows.where("lone")
+    if twice.count() > BROADCAST_ROWS:
+
+        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for some, who, place, wh in chunks(parts):
+                cols = {c: some[c].to_numpy()[who] for c in ("ah", "doc_id", "mark")}
                 yield pd.DataFrame(cols | {"lo": some["lo"].to_numpy()[who] + place, "wh": wh.view(np.int64)})
 
-    windows = rows.drop("many").dropDuplicates(["ah", "doc_id", "mark", "lo"]).mapInPandas(run, f"ah long, lone boolean, doc_id {kind}, mark long, lo int, wh long")
-    windows = keep(windows)
-    twice = keep(windows.groupBy("ah", "wh").agg(F.count("*").alias("k"), F.max("lone").alias("lone")).where("k > 1 and lone").drop("lone"))
-    return lookup(windows.where("lone").drop("lone"), twice, ["ah", "wh"], "k").select("doc_id", "mark", "lo", F.lit(1).alias("n"))
+        windows = keep(lone.mapInPandas(each, f"ah long, doc_id {kind}, mark long, lo int, wh long"))
+        return lookup(windows, twice, ["ah", "wh"], "k").select("doc_id", "mark", "lo", F.lit(1).alias("n"))
+
+    known = {ah: np.sort(part["wh"].to_numpy()) for ah, part in twice.toArrow().to_pandas().groupby("ah")}
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, np.int64)
+        for some, who, place, wh in chunks(parts):
+            hit, wh = np.zeros(len(who), bool), wh.view(np.int64)
+            edge = np.searchsorted(who, np.arange(len(some) + 1))  # who ascends
+            for i, ah in enumerate(some["ah"].tolist()):
+                mine, of = slice(edge[i], edge[i + 1]), shared.value.get(ah, none)
+                at = np.searchsorted(of, wh[mine])
+                hit[mine] = (at < len(of)) & (of[np.minimum(at, len(of) - 1)] == wh[mine]) if len(of) else False
+            who, first, n = stretches(who, place, hit)
+            yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy()[who], "mark": some["mark"].to_numpy()[who], "lo": some["lo"].to_numpy()[who] + first, "n": n})
+
+    return lone.mapInPandas(find, f"doc_id {kind}, mark long, lo int, n int")
 
 
 def repeats(docs: DataFrame, parts: int = BATCHES) -> DataFrame:

@@ -134,9 +134,10 @@ def test_repeated_spans_against_brute_force(spark, corpus):
     assert kept == {200: ""}
 
 
-@pytest.mark.parametrize(("batches", "local", "listed"), [(1, 8192, 200_000), (6, 0, 0)])
-def test_repeated_spans_by_any_batches(spark, monkeypatch, batches, local, listed):
+@pytest.mark.parametrize(("batches", "local", "listed", "rows_listed"), [(1, 8192, 200_000, 2_000_000), (6, 0, 0, 0), (2, 0, 200_000, 2_000_000)])
+def test_repeated_spans_by_any_batches(spark, monkeypatch, batches, local, listed, rows_listed):
     """Levels that merge, anchors with too many classes for one task, and lists that are not broadcast give the same."""
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", rows_listed)
     monkeypatch.setattr(spans, "BATCHES", batches)
     monkeypatch.setattr(spans, "LOCAL", local)
     monkeypatch.setattr(spans, "LISTED", listed)
@@ -652,6 +653,19 @@ def test_empty_nulls_and_clashing_columns(spark, name):
     assert got == {"op5": got, "stage7": 4}.get(name, 5) and got > 0
 
 
+def test_filtering_stages_keep_columns_of_any_name(spark):
+    """Rows of equal and of no doc_id are judged by their texts, and a column named like a work column comes through with its values."""
+    schema = "doc_id long, text string, _text_mark string, _TEXT_MARK_ string, keys string, sid string"
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, long, "a", "b", "c", "d"), (7, "another text of its own here", "e", "f", "g", "h"), (8, long, "i", "j", "k", "l"), (None, "the first without an id", "m", "n", "o", "p"), (None, "the second without an id", "q", "r", "s", "t"), (None, None, "u", "v", "w", "x")]
+    docs = spark.createDataFrame(rows, schema)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and rows_of(kept) == sorted((r for r in rows if r[2] != "i"), key=repr)
+    item = spark.createDataFrame([(1, "the first without an id")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, item)
+    assert clean.columns == docs.columns and rows_of(clean) == sorted((r for r in rows if r[2] != "m"), key=repr)
+
+
 def test_urls_empty_and_clashing(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     rows = spark.createDataFrame([(None, None, "x", "x"), (1, "http://a.b/c", "x", "x"), (1, "http://a.b/c", "x", "x")], "page_id long, url string, host string, bad string")
