@@ -200,21 +200,6 @@ def stretches(who: np.ndarray, place: np.ndarray, hit: np.ndarray) -> tuple[np.n
     return who[begin], place[begin], last - begin + 1
 
 
-def whole_groups(parts: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
-    """Sorted rows again, in frames that part no group of equal keys."""
-    left = None
-    for part in parts:
-        if not len(part):
-            continue
-        part = part if left is None else pd.concat([left, part], ignore_index=True)
-        last = np.logical_and.reduce([part[k].to_numpy() == part[k].iloc[-1] for k in keys])  # may go on
-        left = part[last]
-        if not last.all():
-            yield part[~last]
-    if left is not None:
-        yield left
-
-
 def _compared(rows: DataFrame) -> DataFrame:
     """doc_id, mark, lo, n of the repeated windows of lone classes; the classes of an anchor meet in one task."""
     kind = dict(rows.dtypes)["doc_id"]
@@ -225,7 +210,15 @@ def _compared(rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[who], "mark": part["mark"].to_numpy()[who], "lo": part["lo"].to_numpy()[who] + first, "n": n})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(judge, whole_groups(parts, "ah"))
+        left = None
+        for part in parts:
+            part = part if left is None else pd.concat([left, part], ignore_index=True)
+            whole = part["ah"].to_numpy() != part["ah"].iloc[-1]  # the last group may go on
+            left = part[~whole]
+            if whole.any():
+                yield judge(part[whole])
+        if left is not None:
+            yield judge(left)
 
     return rows.drop("many").repartition("ah").sortWithinPartitions("ah").mapInPandas(run, f"doc_id {kind}, mark long, lo int, n int")
 
@@ -233,13 +226,10 @@ def _compared(rows: DataFrame) -> DataFrame:
 def _counted(rows: DataFrame) -> DataFrame:
     """As ``_compared``, for anchors of any number of classes: windows are counted by aggregation.
 
-    The classes of an anchor are dealt into salts of about ``LOCAL``; a task counts the windows of one salt, so that those which
-    many classes have are one row of each salt. Up to ``BROADCAST_ROWS`` windows that repeat are listed by anchor to all tasks,
-    which look their strings' windows up and give runs of them; beyond, windows become rows and meet the repeated ones in a join, hot ones apart."""
+    Up to ``BROADCAST_ROWS`` windows that repeat are listed by anchor to all tasks, which look their strings' windows up and
+    give runs of them; beyond, windows become rows and meet the repeated ones in a join, hot ones apart."""
     kind = dict(rows.dtypes)["doc_id"]
-    rows = rows.dropDuplicates(["ah", "doc_id", "mark", "lo"])
-    salts = F.ceil(F.col("many") / max(1, LOCAL))
-    rows = keep(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "lo"), salts)).drop("many"))
+    rows = keep(rows.drop("many").dropDuplicates(["ah", "doc_id", "mark", "lo"]))
 
     def chunks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
         for part in parts:
@@ -248,12 +238,11 @@ def _counted(rows: DataFrame) -> DataFrame:
                 yield some, *windows_in(some["b"].tolist())
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, who, _, wh in chunks(whole_groups(parts, "ah", "salt")):
+        for some, who, _, wh in chunks(parts):
             got = pd.DataFrame({c: some[c].to_numpy()[who] for c in ("ah", "lone")} | {"wh": wh.view(np.int64)})
             yield got.groupby(["ah", "wh"], as_index=False).agg(k=("lone", "size"), lone=("lone", "max"))
 
-    dealt = rows.repartition("ah", "salt").sortWithinPartitions("ah", "salt")
-    counts = dealt.mapInPandas(count, "ah long, wh long, k long, lone boolean").groupBy("ah", "wh").agg(F.sum("k").alias("k"), F.max("lone").alias("lone"))
+    counts = rows.mapInPandas(count, "ah long, wh long, k long, lone boolean").groupBy("ah", "wh").agg(F.sum("k").alias("k"), F.max("lone").alias("lone"))
     twice = keep(counts.where("k > 1 and lone").drop("lone"))
     lone = rows.where("lone")
     if twice.count() > BROADCAST_ROWS:
