@@ -15,8 +15,8 @@ has that hash, how often it stands, and the least and greatest hash of what its
    among the others where two runs do, every window of them repeats.
 3. What is left are classes of runs that share an anchor but not all bytes (the edges of a passage, the edits of a near
    copy). Of each class the covered bytes of one run are read again; the classes of an anchor meet and their windows are
-   compared by anchor and window hash: 128 bits. An anchor of over ``LOCAL`` classes does not meet in one task: its windows
-   are counted by aggregation.
+   compared by anchor and window hash: 128 bits. An anchor of over ``LOCAL`` classes does not meet in one task: its runs are
+   cut into parts by distance from the anchor, which meet by the bytes that all windows of the part share.
 
 Counts are combined before each shuffle, hot anchors and classes are joined by a broadcast of at most a thousand keys, and
 no group of equal strings is ever gathered, so a passage that stands in a third of all documents costs one row for each
@@ -25,6 +25,7 @@ place it stands.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import BROADCAST_ROWS, bounded, forget, keep, lookup, same, spread
+from pathloom.llm.common import BROADCAST_ROWS, bounded, forget, keep, lookup, same, spread  # noqa: F401
 from pathloom.llm.rolling import Rolling, mix
 
 LENGTH, GRAM, CHUNK = 200, 48, 1_000_000
@@ -42,6 +43,8 @@ BATCHES, BATCH_BYTES = 3, 1 << 40
 #: Classes of an anchor up to which they are compared in one task; representatives up to which their list is broadcast.
 LOCAL, LISTED = 1024, 200_000
 WIDTH = LENGTH - GRAM + 1  # anchors to choose from; up to 256
+#: Distances from the anchor in a part, by rounds.
+WIDTHS = (39, 10, 3, 1)
 _LOW = np.uint64(255)
 
 
@@ -66,18 +69,20 @@ def runs_of(texts: list[bytes]) -> pd.DataFrame:
     if len(b) < LENGTH:
         return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "ah", "ch")})
     roll = Rolling(b)
-    at = np.arange(len(b) - GRAM + 1)
-    gram = roll.at(at, at + GRAM)
+    gram = roll.each(GRAM)
     blocks = -(-len(gram) // WIDTH)
     padded = np.full(blocks * WIDTH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(gram)] = (gram & ~_LOW) | (at % WIDTH).astype(np.uint64)
+    np.bitwise_and(gram, ~_LOW, out=padded[: len(gram)])
+    padded.reshape(blocks, WIDTH)[:, :] |= np.arange(WIDTH, dtype=np.uint64)
     grid = padded.reshape(blocks, WIDTH)
     to_end = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     from_start = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    del padded, grid
     s = np.arange(len(b) - LENGTH + 1)
-    first, second = to_end[s], from_start[s + WIDTH - 1]
+    first, second = to_end[: len(s)], from_start[WIDTH - 1 : WIDTH - 1 + len(s)]
     left = (first & ~_LOW) <= (second & ~_LOW)
-    place = np.where(left, s // WIDTH * WIDTH + (first & _LOW).astype(np.int64), (s + WIDTH - 1) // WIDTH * WIDTH + (second & _LOW).astype(np.int64))
+    place = np.where(left, s, s + (WIDTH - 1)) // WIDTH * WIDTH + (np.where(left, first, second) & _LOW).astype(np.int64)
+    del to_end, from_start, first, second, left
     text = np.repeat(np.arange(len(texts)), size)[: len(s)]
     ok = s + LENGTH <= ends[text]
     s, place, text = s[ok], place[ok], text[ok]
@@ -147,7 +152,7 @@ class SpanIndex:
 
 
 def _covered(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The bytes that the listed runs cover: ah, many, lone, doc_id, mark, lo, b. A repeated document gives them repeatedly."""
+    """The bytes that the listed runs cover: ah, many, lone, doc_id, mark, lo, at (the anchor's distance from lo), b. A repeated document gives them repeatedly."""
     kind = dict(rows.dtypes)["doc_id"]
     listed = keep(rows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("ah", "many", "lone", "lo", "n")).alias("runs")))
     few = rows.count() <= LISTED
@@ -164,10 +169,10 @@ def _covered(docs: DataFrame, rows: DataFrame) -> DataFrame:
             out = []
             for doc, mark, text, runs in zip(part["doc_id"], part["mark"], part["text"], part["runs"], strict=True):
                 data = _bytes(text)
-                out += [(r["ah"], r["many"], r["lone"], doc, mark, r["lo"], data[r["lo"] : r["lo"] + (r["n"] & 255) + LENGTH - 1]) for r in runs]
-            yield pd.DataFrame(out, columns=["ah", "many", "lone", "doc_id", "mark", "lo", "b"])
+                out += [(r["ah"], r["many"], r["lone"], doc, mark, r["lo"], r["n"] >> 8, data[r["lo"] : r["lo"] + (r["n"] & 255) + LENGTH - 1]) for r in runs]
+            yield pd.DataFrame(out, columns=["ah", "many", "lone", "doc_id", "mark", "lo", "at", "b"])
 
-    return both.mapInPandas(run, f"ah long, many long, lone boolean, doc_id {kind}, mark long, lo int, b binary")
+    return both.mapInPandas(run, f"ah long, many long, lone boolean, doc_id {kind}, mark long, lo int, at int, b binary")
 
 
 def windows_in(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,54 +228,62 @@ def _compared(rows: DataFrame) -> DataFrame:
     return rows.drop("many").repartition("ah").sortWithinPartitions("ah").mapInPandas(run, f"doc_id {kind}, mark long, lo int, n int")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """As ``_compared``, for anchors of any number of classes: windows are counted by aggregation.
+def pieces_of(ah: np.ndarray, at: np.ndarray, rows: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """Byte strings cut by the distance of their windows from the anchor, in parts of ``width`` distances: string number, key
+    (anchor, part, bytes that all windows of the part have in common), hash of what is covered, distance of the first window, its place, windows.
 
-    Up to ``BROADCAST_ROWS`` windows that repeat are listed by anchor to all tasks, which look their strings' windows up and
-    give runs of them; beyond, windows become rows and meet the repeated ones in a join, hot ones apart."""
+    Equal windows have their anchor at equal distances, so they are in the same part and have the same key."""
+    size = np.array([len(x) for x in rows], dtype=np.int64)
+    low = at - (size - LENGTH)
+    n = at // width - low // width + 1
+    who = np.repeat(np.arange(len(rows)), n)
+    part = (low // width)[who] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    near, far = np.maximum(low[who], part * width), np.minimum(at[who], part * width + width - 1)
+    anchor = (np.cumsum(size) - size + at)[who]
+    roll = Rolling(np.frombuffer(b"".join(rows), dtype=np.uint8))
+    core = roll.at(anchor - part * width, anchor - (part * width + width - 1) + LENGTH)
+    key = mix(core ^ mix(ah[who].view(np.uint64) ^ mix((part + 1).astype(np.uint64))))
+    cover = roll.at(anchor - far, anchor - near + LENGTH) ^ mix((far << 16 | near).astype(np.uint64))
+    return who, key.view(np.int64), cover.view(np.int64), far, at[who] - far, far - near + 1
+
+
+def _pieces(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` cut by ``pieces_of``: a row for each part (at most one more than ``WIDTH`` / ``width``), whose ``ah`` is the key."""
     kind = dict(rows.dtypes)["doc_id"]
-    rows = keep(rows.drop("many").dropDuplicates(["ah", "doc_id", "mark", "lo"]))
 
-    def chunks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for a, z in batches([len(b) for b in part["b"]]):
                 some = part.iloc[a:z]
-                yield some, *windows_in(some["b"].tolist())
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, who, _, wh in chunks(parts):
-            got = pd.DataFrame({c: some[c].to_numpy()[who] for c in ("ah", "lone")} | {"wh": wh.view(np.int64)})
-            yield got.groupby(["ah", "wh"], as_index=False).agg(k=("lone", "size"), lone=("lone", "max"))
-
-    counts = rows.mapInPandas(count, "ah long, wh long, k long, lone boolean").groupBy("ah", "wh").agg(F.sum("k").alias("k"), F.max("lone").alias("lone"))
-    twice = keep(counts.where("k > 1 and lone").drop("lone"))
-    lone = rows.where("lone")
-    if twice.count() > BROADCAST_ROWS:
-
-        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for some, who, place, wh in chunks(parts):
-                cols = {c: some[c].to_numpy()[who] for c in ("ah", "doc_id", "mark")}
-                yield pd.DataFrame(cols | {"lo": some["lo"].to_numpy()[who] + place, "wh": wh.view(np.int64)})
-
-        windows = keep(lone.mapInPandas(each, f"ah long, doc_id {kind}, mark long, lo int, wh long"))
-        return lookup(windows, twice, ["ah", "wh"], "k").select("doc_id", "mark", "lo", F.lit(1).alias("n"))
-
-    known = {ah: np.sort(part["wh"].to_numpy()) for ah, part in twice.toArrow().to_pandas().groupby("ah")}
-    shared = rows.sparkSession.sparkContext.broadcast(known)
-
-    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.int64)
-        for some, who, place, wh in chunks(parts):
-            hit, wh = np.zeros(len(who), bool), wh.view(np.int64)
-            edge = np.searchsorted(who, np.arange(len(some) + 1))  # who ascends
-            for i, ah in enumerate(some["ah"].tolist()):
-                mine, of = slice(edge[i], edge[i + 1]), shared.value.get(ah, none)
-                at = np.searchsorted(of, wh[mine])
-                hit[mine] = (at < len(of)) & (of[np.minimum(at, len(of) - 1)] == wh[mine]) if len(of) else False
-            who, first, n = stretches(who, place, hit)
-            yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy()[who], "mark": some["mark"].to_numpy()[who], "lo": some["lo"].to_numpy()[who] + first, "n": n})
-
-    return lone.mapInPandas(find, f"doc_id {kind}, mark long, lo int, n int")
+                b = some["b"].tolist()
+                who, key, cover, far, first, n = pieces_of(some["ah"].to_numpy(), some["at"].to_numpy(dtype=np.int64), b, width)
+                cols = {c: some[c].to_numpy()[who] for c in ("lone", "doc_id", "mark")}
+                cut_ = [b[i][f : f + k + LENGTH - 1] for i, f, k in zip(who.tolist(), first.tolist(), n.tolist(), strict=True)]
+                yield pd.DataFrame({"ah": key, "ch": cover, **cols, "lo": some["lo"].to_numpy()[who] + first, "at": far, "b": cut_})
+
+    return rows.select("ah", "lone", "doc_id", "mark", "lo", "at", "b").mapInPandas(run, f"ah long, ch long, lone boolean, doc_id {kind}, mark long, lo int, at int, b binary")
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    """As ``_compared``, for anchors of any number of classes, which are cut into pieces by ever narrower parts.
+
+    Pieces meet by anchor, part and the bytes that the part's windows have in common. Pieces that cover equal bytes repeat
+    whole, and one of them stands for all; a key of one piece is done; up to ``LOCAL`` are compared in one task; more are cut
+    again. Parts of one window have nothing left to compare."""
+    rows, out = rows.dropDuplicates(["ah", "doc_id", "mark", "lo"]), []
+    for width in WIDTHS:
+        pieces = keep(_pieces(rows, width))
+        one = F.min(F.struct("lone", "doc_id", "mark", "lo", "at", "b")).alias("one")
+        covers = keep(pieces.groupBy("ah", "ch").agg(F.count("*").alias("size"), one).select("ah", "ch", "size", ((F.col("size") == 1) & F.col("one.lone")).alias("lone"), *(f"one.{c}" for c in ("doc_id", "mark", "lo", "at", "b"))))
+        twice = lookup(pieces.where("lone"), covers.where("size > 1").select("ah", "ch", "size"), ["ah", "ch"], "size")
+        out.append(twice.select("doc_id", "mark", "lo", (F.length("b") - (LENGTH - 1)).alias("n")))
+        open_ = keep(covers.groupBy("ah").agg(F.count("*").alias("many"), F.max("lone").alias("some")).where("many > 1 and some").select("ah", "many"))
+        left = keep(lookup(covers.drop("ch", "size"), open_, ["ah"], "many"))
+        out.append(_compared(left.where(F.col("many") <= LOCAL)))
+        rows = left.where(F.col("many") > LOCAL)
+        if rows.isEmpty():
+            break
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def repeats(docs: DataFrame, parts: int = BATCHES) -> DataFrame:
@@ -294,7 +307,7 @@ def repeats(docs: DataFrame, parts: int = BATCHES) -> DataFrame:
     named = lambda df, n="n": df.select("doc_id", "mark", "lo", F.expr(n).cast("int").alias("n"))
     out = named(shared.where("not mixed"), "n & 255").unionByName(named(twins, "n & 255")).unionByName(named(_compared(rows.where(F.col("many") <= LOCAL))))
     large = rows.where(F.col("many") > LOCAL)
-    return out if large.isEmpty() else out.unionByName(named(_counted(large)))
+    return out if large.isEmpty() else out.unionByName(named(_refined(large)))
 
 
 def cut(data: bytes, spans) -> tuple[bytes, int]:

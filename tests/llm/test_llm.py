@@ -147,6 +147,25 @@ def test_repeated_spans_by_any_batches(spark, monkeypatch, batches, local, liste
     assert rows_of(spans.repeated_spans(frame(spark, rows))) == brute_spans(rows, spans.LENGTH)
 
 
+@pytest.mark.parametrize("local", [1, 5, 1024])
+def test_anchors_of_many_classes_make_few_rows(spark, monkeypatch, local):
+    """Near copies that differ on both sides of one passage: all windows equal some other's at other places, and no window is a row."""
+    monkeypatch.setattr(spans, "LOCAL", local)
+    rows_made, whole = [], spans._pieces
+    monkeypatch.setattr(spans, "_pieces", lambda rows, width: rows_made.append((width, rows.count(), (got := whole(rows, width)).count())) or got)
+    rng = random.Random(8)
+    base = prose(rng, 90)
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for at in rng.sample(range(len(base)), 2):
+            text[at] = "#$%&"[i % 4]
+        rows.append((i, "".join(text), "n"))
+    assert rows_of(spans.repeated_spans(frame(spark, rows))) == brute_spans(rows, spans.LENGTH)
+    assert bool(rows_made) == (local < 40)
+    assert all(made <= (spans.WIDTH // width + 2) * n for width, n, made in rows_made)
+
+
 def test_levels_double(spark):
     index = spans.SpanIndex()
     for k in range(7):
