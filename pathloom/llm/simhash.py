@@ -165,14 +165,16 @@ def components(docs: DataFrame) -> DataFrame:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """For each row doc_id, mark (hash of the text), sid (digest of its set of ``STAGE_WORDS``-word shingles), n (how many
-    these are), and ``BANDS`` keys, each of ``BAND`` minima of hashed shingles."""
+    these are), fp (the fingerprint of its shingles), and ``BANDS`` keys, each of ``BAND`` minima of hashed shingles."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            sids, sizes, keys = [], [], []
+            sids, sizes, codes, keys = [], [], [], []
             for text in part["text"]:
-                hashes = np.unique(shingle_hashes(text, STAGE_WORDS))
+                hashes = shingle_hashes(text, STAGE_WORDS)
+                codes.append(majority(hashes))
+                hashes = np.unique(hashes)
                 sids.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
                 sizes.append(len(hashes))
                 low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -185,9 +187,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     key = (key ^ band[:, j]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
                 keys.append(key.view(np.int64))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "mark": part["mark"], "sid": np.array(sids, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int64), "keys": keys})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "mark": part["mark"], "sid": np.array(sids, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int64), "fp": np.array(codes, dtype=np.uint64).view(np.int64), "keys": keys})
 
-    return spread(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")).mapInPandas(run, f"doc_id {kind}, mark long, sid long, n long, keys array<long>")
+    return spread(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")).mapInPandas(run, f"doc_id {kind}, mark long, sid long, n long, fp long, keys array<long>")
 
 
 def set_links(sids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -251,13 +253,22 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
 
 
+def fingerprint_keys(found: DataFrame) -> DataFrame:
+    """sid, n and a key for each component of fingerprints that link within ``D`` bits: all such sets share it."""
+    codes = keep(found.groupBy("fp").agg(F.count("*").alias("size")))
+    roots = connected_components(links(codes.select("fp")))
+    named = keep(codes.join(roots, codes["fp"] == roots["id"], "left").select("fp", "size", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key")))
+    return lookup(found.select("sid", "n", "fp"), named, ["fp"], "size").select("sid", "n", "key")
+
+
 def similar_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Links between the sets of ``found`` that share a key and have Jaccard similarity ``SIMILARITY`` or more.
 
+    One key of a set is the component of its fingerprint in the Gray-order index, the others are its minima's.
     The sets under a key are one list, compared in one task. A key over ``PART`` sets or ``PART_SHINGLES`` shingles is cut
     into parts that have the key's first and last set in common. If its sets are then not all of one component, blocks of
     them are compared pair by pair; only blocks that lie within the same component are not. So nothing is left out."""
-    rows = found.select("sid", "n", F.explode("keys").alias("key")).distinct()
+    rows = found.select("sid", "n", F.explode("keys").alias("key")).unionByName(fingerprint_keys(found)).distinct()
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     many = lambda size, weight: F.ceil(F.greatest(size / PART, weight / PART_SHINGLES, F.lit(1.0)))
     rows = keep(rows.join(sizes, "key").select("key", "sid", "n", many(F.col("size"), F.col("weight")).alias("parts")))
@@ -297,8 +308,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (null is largest).
 
     A group here is a component of documents whose sets of five-word shingles have Jaccard similarity ``SIMILARITY`` or
-    more. Pairs are found by ``BANDS`` keys of ``BAND`` minima, which a pair at 0.8 shares none of once in 100,000 times, and
-    each is verified by its sets. A row is known by its doc_id and its text: rows that repeat both are one, rows that share
+    more. Pairs are found by the fingerprints' index (those of one component of links within ``D`` bits are compared) and by
+    ``BANDS`` keys of ``BAND`` minima, which a pair at 0.8 shares none of once in 100,000 times; each is verified by its sets. A row is known by its doc_id and its text: rows that repeat both are one, rows that share
     a doc_id (or have none) over different texts are documents of their own. Of rows without a word one stays.
     """
     found = keep(sketches(docs))

@@ -277,6 +277,28 @@ def test_near_duplicate_stage_against_brute_force(spark, monkeypatch, part):
     assert got == want
 
 
+def test_near_duplicate_stage_finds_pairs_by_fingerprint(spark, monkeypatch):
+    """Near copies that share no key of minima are found by the fingerprints' index; fingerprints alone link nothing."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(4):
+        words = [f"w{k}x{rng.randrange(9000)}" for _ in range(600)]
+        codes = {}
+        for at in range(20, 580, 7):  # a copy with another word, within two bits
+            copy = [*words[:at], "other", *words[at + 1 :]]
+            codes[at] = (simhash.fingerprint(" ".join(copy), 5) ^ simhash.fingerprint(" ".join(words), 5)).bit_count()
+        at = min(codes, key=codes.get)
+        assert codes[at] <= simhash.D
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join([*words[:at], "other", *words[at + 1 :]]), "a")]
+    rows += [(20, "again " * 500 + "one two three four five", "a"), (21, "again " * 500 + "six seven eight nine ten", "a")]  # equal fingerprints, unlike sets
+    assert simhash.fingerprint(rows[-1][1], 5) == simhash.fingerprint(rows[-2][1], 5)
+    whole = simhash.sketches
+    apart = lambda docs: whole(docs).withColumn("keys", F.array(F.xxhash64("doc_id", "mark")))
+    monkeypatch.setattr(simhash, "sketches", apart)
+    got = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_near_stage(rows) == {0, 2, 4, 6, 20, 21}
+
+
 def test_set_links_are_the_components_of_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
