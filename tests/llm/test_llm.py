@@ -626,6 +626,28 @@ def test_kneser_ney_sums_to_one_and_matches_brute_force(spark, monkeypatch):
     assert not len(toxicity.kneser_ney(toxicity.count_bigrams(rows.limit(0))).bigram[0])
 
 
+def test_terms_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    """A bound on what is broadcast, however low, leaves evidence and scores as they are."""
+    monkeypatch.setattr(toxicity, "LEAST", (3, 2))
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)] + ["idiot"] * 4 * (k % 3 == 0)) for _ in range(rng.randrange(1, 60))) for k in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[8]), (None, "w1 never idiot"), (300, None), (301, ""), (None, "w1 never idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    found = []
+    for rare in (2_000_000, 60, 7):
+        monkeypatch.setattr(toxicity, "RARE", rare)
+        rows = spark.createDataFrame([(t, int(k % 3 == 0)) for k, t in enumerate(texts)], "text string, y int")
+        model = toxicity.kneser_ney(toxicity.count_bigrams(rows))
+        assert (model.rest is None) == (rare > 60)
+        got = toxicity._evidence(docs, model, "doc_id").select("doc_id", "x").collect()
+        scores = toxicity.score_toxicity(docs, labels).collect()
+        order = lambda rows: [[v if isinstance(v, float) else -1.0 if v is None else v for v in r] for r in rows]
+        found.append((sorted([-1 if r.doc_id is None else r.doc_id, *r.x] for r in got), sorted(order([(r.doc_id, r.score, r.per_word) for r in scores]))))
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert np.allclose(np.array(a, dtype=float), np.array(b, dtype=float), atol=1e-4)
+
+
 @pytest.mark.parametrize(("label", "fold"), [("toxic", (5, 0)), ("quality", (3, 1))])
 def test_classifiers_held_out(spark, label, fold):
     rng = random.Random(6)
