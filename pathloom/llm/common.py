@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pathloom.scratch import forget, keep, spread  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Runs of anything but the six ASCII white-space characters.
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: The six ASCII white-space characters, as a class of a regular expression and as they are.
+SPACE, SPACES = "\\x20\\x09-\\x0D", " \t\n\v\f\r"
+#: Runs of anything else.
+WORD = f"[^{SPACE}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

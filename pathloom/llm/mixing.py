@@ -16,7 +16,6 @@ number of copies until each copy gets its own place.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import WORD, bounded, keep, same, spread
+from pathloom.llm.common import SPACE, SPACES, WORD, bounded, keep, same, spread
 
 #: Rows in a bucket of a source, about; buckets of a source, at least; copies that one task lists.
 BUCKET, BUCKETS, COPIES = 4096, 1024, 10_000
@@ -253,19 +252,10 @@ class Mix:
             once, more = (docs.join(again, same(docs, again, *key), how) for how in ("left_anti", "left_semi"))
             docs = once.unionByName(more.dropDuplicates(list(key)))
         met = docs.join(lists, same(docs, lists, *key)).select(docs["doc_id"], docs["source"], "text", "cuts")
-        kind = dict(docs.dtypes)["doc_id"]
-        word = re.compile(WORD)
-        names = ["shard", "slot", "epoch", "block", "source", "doc_id", "at", "n", "text"]
-
-        def cut_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                out = []
-                for doc, source, text, cuts in zip(part["doc_id"], part["source"], part["text"], part["cuts"], strict=True):
-                    spans = [m.span() for m in word.finditer(text)]
-                    out += [(c["shard"], c["slot"], c["epoch"], c["block"], source, doc, c["at"], c["n"], text[spans[c["at"]][0] : spans[c["at"] + c["n"] - 1][1]]) for c in cuts]
-                yield pd.DataFrame(out, columns=names)
-
-        return met.mapInPandas(cut_up, f"shard long, slot int, epoch int, block long, source string, doc_id {kind}, at long, n long, text string")
+        words = F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACE}]*"), F.lit(0))  # each with the white space behind it
+        stretch = lambda w, c: F.rtrim(F.array_join(F.slice(w, (c["at"] + 1).cast("int"), c["n"].cast("int")), ""), F.lit(SPACES))
+        cuts = F.transform(F.array(words), lambda w: F.transform("cuts", lambda c: F.struct(*(c[x].alias(x) for x in ("shard", "slot", "epoch", "block", "at", "n")), stretch(w, c).alias("text"))))  # as ``w`` a text's words are found once, not once a cut
+        return met.select("doc_id", "source", F.inline(cuts[0])).select("shard", "slot", "epoch", "block", "source", "doc_id", "at", "n", "text")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

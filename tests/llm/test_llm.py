@@ -85,6 +85,18 @@ def test_mixed_texts_are_the_documents_words(spark, corpus):
     assert taken == Counter({k: v for k, v in report.items() if v})
 
 
+def test_mixed_texts_are_cut_without_python(spark):
+    texts = {1: " \x0b one\ttwo  three\x85four\x1c five \u00a0\n six\r", 2: "\U0001f600 a\u2003b  " + "seven\x0c " * 40, 3: "z", None: "\nlast of  all ", 5: None, 6: " \t"}
+    got = mixing.mix(frame(spark, [(i, t, "s") for i, t in texts.items()]), block=3, shard=4)
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+    rows, seen = got.collect(), set()
+    for r in rows:
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", texts[r.doc_id])]
+        assert r.text == texts[r.doc_id][words[r.at][0] : words[r.at + r.n - 1][1]]
+        seen.add(r.doc_id)
+    assert seen == {1, 2, 3, None} and [f.name for f in got.schema] == ["shard", "slot", "epoch", "block", "source", "doc_id", "at", "n", "text"]
+
+
 def test_large_draws_have_the_same_law():
     rng = np.random.default_rng(1)
     a = np.array([mixing.conditioned(300, 500, 80, rng) for _ in range(4000)])
