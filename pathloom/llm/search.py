@@ -5,11 +5,12 @@ text is read again. Within a shard, documents with the same rarest words stand t
 ``BLOCK`` documents differ. Document frequencies, the number of documents and their mean length come from all shards, so
 that a score does not depend on the shard. Queries go round in blocks of ``TERMS`` terms (the bound on what is broadcast,
 one block at a time). A task keeps the k-th best score of each query so far, the WAND threshold, which carries from shard
-to shard. WAND moves cursors document by document; here its two tests are made for all documents of a shard at once:
+to shard; so there are ``WAVES`` tasks for each core at most. WAND moves cursors document by document; here its two tests
+are made for all documents of a shard and up to ``QUERIES`` queries at once:
 
-* pivot: terms of few documents are scored posting by posting, and the best k of these, completed, raise the threshold.
-  Of the other terms those are set aside whose maxima together stay below the threshold (those with the most postings for
-  their maximum first): a document that has only such terms can be no pivot. The rest is scored;
+* pivot: of the terms in over ``DENSE`` of the documents those are set aside whose maxima together stay below the threshold
+  (those with the most postings for their maximum first): a document that has only such terms can be no pivot. The rest is
+  scored, terms in over ``ROWS`` of the documents by one matrix product for all the queries, others posting by posting;
 * block maxima: a document is a candidate only if its score so far and the maxima, in its block, of the terms set aside
   reach the threshold. Only candidates are scored for these terms;
 * candidates within float32 error of the best k are scored again in float64, terms in one fixed order, so equal documents
@@ -32,8 +33,12 @@ from pathloom.llm.rolling import mix, word_hashes
 
 #: Documents and characters of a shard (a longer text is a shard of its own), documents of a block, terms of a block of queries.
 K1, B, SHARD, CHARS, BLOCK, TERMS = 1.2, 0.75, 4096, 16_000_000, 8, 4_000_000
-#: Terms in a larger share of a shard's documents are kept as rows of a matrix; how far float32 sums may be off.
-DENSE, SLACK = 0.2, 0.9995
+#: Terms in a larger share of a shard's documents are kept as rows of a matrix; those in a share over ``DENSE`` may be set aside.
+ROWS, DENSE = 0.05, 0.2
+#: Tasks of a search for each core, at most: thresholds carry from shard to shard within a task.
+WAVES = 4
+#: How far float32 sums may be off; queries scored at once at most, and postings of these, about; scores completed at once.
+SLACK, QUERIES, POSTINGS, PAIRS = 0.9995, 256, 500_000, 20_000
 CHUNK = 2_000_000
 INDEX = "sizes binary, terms binary, first binary, doc binary, tf binary"
 
@@ -149,20 +154,23 @@ class Shard:
         self.first, self.doc = np.frombuffer(first, np.uint32).astype(np.int64), np.frombuffer(doc, np.uint16)
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(mean_words, 1e-9)))
         df = np.diff(self.first)
-        often = np.flatnonzero(df > DENSE * self.n)
+        rows = np.concatenate((np.flatnonzero(df > DENSE * self.n), np.flatnonzero((df > ROWS * self.n) & (df <= DENSE * self.n))))
+        self.often = int((df > DENSE * self.n).sum())  #: the first rows may be set aside
         self.row = np.full(len(self.terms), -1)
-        self.row[often] = np.arange(len(often))
-        self.df = df[often]
+        self.row[rows] = np.arange(len(rows))
+        self.df = df
         blocks = -(-self.n // BLOCK)
-        self.matrix = np.zeros((len(often), blocks * BLOCK), dtype=np.float32)
-        for j, t in enumerate(often.tolist()):
+        self.matrix = np.zeros((len(rows), blocks * BLOCK), dtype=np.float32)
+        for j, t in enumerate(rows.tolist()):
             some = slice(self.first[t], self.first[t + 1])
             self.matrix[j, self.doc[some]] = self.weight[some]
-        self.block_max = self.matrix.reshape(len(often), blocks, BLOCK).max(axis=2)
-        self.most = self.block_max.max(axis=1, initial=0)
+        self.by_doc = np.ascontiguousarray(self.matrix[: self.often].T)
+        self.block_max = self.matrix[: self.often].reshape(self.often, blocks, BLOCK).max(axis=2)
+        self.most, self.most_df = self.block_max.max(axis=1, initial=0), df[rows[: self.often]]
         by = np.argsort(self.doc, kind="stable")
         self.doc_first = np.append(0, np.cumsum(np.bincount(self.doc, minlength=self.n)))
-        self.doc_term, self.doc_weight = np.repeat(np.arange(len(self.terms)), df)[by], self.weight[by]
+        self.doc_term, self.doc_weight = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)[by], self.weight[by]
+        self.at = np.full(len(self.terms), -1, dtype=np.int32)  #: for ``exact``
         self.touched = 0
 
     def places(self, terms: np.ndarray) -> np.ndarray:
@@ -174,73 +182,115 @@ class Shard:
         at[self.terms[at] != terms] = -1
         return at
 
+    def batches(self, q: np.ndarray, t: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Runs of the queries 0 to ``n``, of ``QUERIES`` and about ``POSTINGS`` at most; ``q`` are the queries of the terms ``t``."""
+        each = np.bincount(q, np.where(self.row[t] < 0, self.df[t], 0), minlength=n)
+        part = np.cumsum(each) // POSTINGS * n + np.arange(n) // QUERIES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
+        yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+    def price(self, t: np.ndarray, idf: np.ndarray) -> None:
+        """Sets the weights of the terms with numbers ``t``, the same for all queries to come; the other terms weigh nothing."""
+        self.idf = np.zeros(len(self.terms))
+        self.idf[t] = idf
+        self.gain = self.weight * np.repeat(self.idf, self.df)
+
     def candidates(self, t: np.ndarray, idf: np.ndarray, k: int, floor: float) -> np.ndarray:
-        """Documents among which the best ``k`` that reach ``floor`` are, for the terms with numbers ``t`` and weights ``idf``."""
+        """``candidates_of`` for one query of the terms ``t`` with weights ``idf``."""
+        self.price(t, idf)
+        return self.candidates_of(np.zeros(len(t), dtype=np.int64), t, k, np.array([floor]))[1]
+
+    def candidates_of(self, q: np.ndarray, t: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query and document, by query, among which each query's best ``k`` are that reach its ``floor``; ``q`` are the queries of the terms ``t``."""
+        m, width, a = len(floor), self.matrix.shape[1], self.often
         row = self.row[t]
         few, many = row < 0, row >= 0
-        n = self.first[t[few] + 1] - self.first[t[few]]
-        posting = np.repeat(self.first[t[few]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.doc[posting], np.repeat(idf[few], n) * self.weight[posting], minlength=self.matrix.shape[1]).astype(np.float64)  # integers if there is nothing
-        self.touched += len(posting)
-        row, idf = row[many], idf[many].astype(np.float32)
-        if self.n > k and len(row):
-            top = np.argpartition(score, len(score) - k)[len(score) - k :]
-            floor = max(floor, SLACK * float((score[top] + idf @ self.matrix[np.ix_(row, top)]).min()))
-            self.touched += k * len(row)
-        most = idf * self.most[row]
-        order = np.argsort(most / self.df[row])
-        aside = int(np.searchsorted(np.cumsum(most[order], dtype=np.float64), SLACK * floor))
-        rest, now = order[:aside], order[aside:]
-        if len(now):
-            score += idf[now] @ self.matrix[row[now]]
-            self.touched += int(self.df[row[now]].sum())
+        n = self.df[t[few]]
+        posting = np.arange(n.sum())
+        posting += np.repeat(self.first[t[few]] - np.cumsum(n) + n, n)
+        at = np.repeat(q[few] * width, n)
+        at += self.doc[posting]
+        score = np.bincount(at, self.gain[posting], minlength=m * width)
+        score = score.reshape(m, width).astype(np.float32)
+        weight = np.zeros((m, len(self.matrix)), dtype=np.float32)
+        weight[q[many], row[many]] = self.idf[t[many]]
+        if weight[:, a:].any():
+            score += weight[:, a:] @ self.matrix[a:]
+        now = weight[:, :a]
+        order = np.argsort(now.max(axis=0, initial=0) * self.most / self.most_df)
+        rest = np.zeros_like(now)
+        rest[:, order] = np.where(np.cumsum((now * self.most)[:, order], axis=1, dtype=np.float64) < SLACK * floor[:, None], now[:, order], 0)
+        now = now - rest
+        used, aside = np.flatnonzero(now.any(axis=0)), np.flatnonzero(rest.any(axis=0))
+        if len(used):
+            score += now[:, used] @ self.matrix[used]
+        self.touched += len(posting) + int(self.df[t[row >= a]].sum()) + int(((now > 0) @ self.most_df).sum())
         bound = score
-        if len(rest):
-            bound = score + np.repeat(idf[rest] @ self.block_max[row[rest]], BLOCK)
-        found = np.flatnonzero((bound >= SLACK * floor) & (bound > 0))
-        score = score[found]
-        if len(rest) and len(found):
-            score = score + idf[rest] @ self.matrix[np.ix_(row[rest], found)]
-            self.touched += len(rest) * len(found)
-        if len(found) > k:
-            floor = max(floor, float(np.partition(score, len(score) - k)[len(score) - k]))
-        return found[(score >= SLACK * floor) & (score > 0)]
+        if len(aside):
+            bound = (score.reshape(m, -1, BLOCK) + (rest[:, aside] @ self.block_max[aside])[:, :, None]).reshape(m, width)
+        query, doc = np.nonzero((bound >= (SLACK * floor).astype(np.float32)[:, None]) & (bound > 0))
+        score = score[query, doc]
+        if len(aside):
+            terms = (rest > 0).sum(axis=1)
+            open_ = np.flatnonzero(terms[query])
+            self.touched += int(terms[query].sum())
+            for at in range(0, len(open_), PAIRS):
+                some = open_[at : at + PAIRS]
+                score[some] += np.einsum("ij,ij->i", rest[query[some]], self.by_doc[doc[some]])
+        ends = np.searchsorted(query, np.arange(m + 1))
+        floor = floor.copy()
+        for i in np.flatnonzero(np.diff(ends) > k).tolist():
+            mine = score[ends[i] : ends[i + 1]]
+            floor[i] = max(floor[i], float(np.partition(mine, len(mine) - k)[len(mine) - k]))
+        kept = (score >= SLACK * floor[query]) & (score > 0)
+        return query[kept], doc[kept]
 
     def exact(self, t: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Scores of ``docs`` in float64, terms in order of their hash (``t`` is in order)."""
-        n = self.doc_first[docs + 1] - self.doc_first[docs]
-        posting = np.repeat(self.doc_first[docs] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at = np.searchsorted(t, self.doc_term[posting])
-        at[at == len(t)] = 0
-        ok = t[at] == self.doc_term[posting]
-        return np.bincount(np.repeat(np.arange(len(docs)), n)[ok], idf[at[ok]] * self.doc_weight[posting[ok]], minlength=len(docs)).astype(np.float64)
+        """Scores of ``docs`` in float64, terms in order of their hash."""
+        runs = [slice(a, z) for a, z in zip(self.doc_first[docs].tolist(), self.doc_first[docs + 1].tolist(), strict=True)]
+        if not runs:
+            return np.zeros(0)
+        self.at[t] = np.arange(len(t))
+        at = self.at[np.concatenate([self.doc_term[x] for x in runs])]
+        self.at[t] = -1
+        ok = np.flatnonzero(at >= 0)
+        of = np.repeat(np.arange(len(docs)), self.doc_first[docs + 1] - self.doc_first[docs])[ok]
+        return np.bincount(of, idf[at[ok]] * np.concatenate([self.doc_weight[x] for x in runs])[ok], minlength=len(docs)).astype(np.float64)
 
 
 def _search(index: DataFrame, query: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int, k: int, mean_words: float) -> DataFrame:
     """(q, doc_id, score), kept: the best k of each task for each query number."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
     order = np.lexsort((term, query))
-    shared = index.sparkSession.sparkContext.broadcast((query[order], term[order], idf[order]))
+    first = np.searchsorted(query[order], np.arange(n + 1))
+    every, one, which = np.unique(term[order], return_index=True, return_inverse=True)
+    shared = index.sparkSession.sparkContext.broadcast((first, which.astype(np.int32), every, idf[order][one]))  # a term has one weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, term, idf = shared.value
-        first = np.searchsorted(query, np.arange(n + 1)).tolist()
-        every, which = np.unique(term, return_inverse=True)
+        first, which, every, price = shared.value
         best: list[list[tuple]] = [[] for _ in range(n)]
-        floor, of = [0.0] * n, None
+        floor, of = np.zeros(n), None
 
         def search(shard: Shard) -> None:
-            place = shard.places(every)[which]
-            for q in range(n):
-                t, w = place[first[q] : first[q + 1]], idf[first[q] : first[q + 1]]
-                t, w = t[t >= 0], w[t >= 0]
-                docs = shard.candidates(t, w, k, floor[q]) if len(t) else t
-                if len(docs):
-                    found = shard.exact(t, w, docs)
-                    mine = [*best[q], *((-round(s, 9), shard.ids[i]) for s, i in zip(found.tolist(), docs.tolist(), strict=True) if s > 0)]
-                    best[q] = sorted(mine, key=lambda x: (x[0], x[1] is None, x[1] or 0))[:k]
-                    if len(best[q]) == k:
-                        floor[q] = -best[q][-1][0]
+            place = shard.places(every)
+            shard.price(place[place >= 0], price[place >= 0])
+            for lo in range(0, n, QUERIES):
+                hi = min(n, lo + QUERIES)
+                q, t = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1])), place[which[first[lo] : first[hi]]]
+                q, t = q[t >= 0], t[t >= 0]
+                own = np.searchsorted(q, np.arange(hi - lo + 1))
+                for a, z in shard.batches(q, t, hi - lo):
+                    some = slice(own[a], own[z])
+                    asked, docs = shard.candidates_of(q[some] - a, t[some], k, floor[lo + a : lo + z])
+                    ends = np.searchsorted(asked, np.arange(z - a + 1)).tolist()
+                    for i in np.unique(asked).tolist():
+                        terms, mine = t[own[a + i] : own[a + i + 1]], docs[ends[i] : ends[i + 1]]
+                        found = shard.exact(terms, shard.idf[terms], mine)
+                        i += lo + a
+                        both = [*best[i], *((-round(s, 9), shard.ids[j]) for s, j in zip(found.tolist(), mine.tolist(), strict=True) if s > 0)]
+                        best[i] = sorted(both, key=lambda x: (x[0], x[1] is None, x[1] or 0))[:k]
+                        if len(best[i]) == k:
+                            floor[i] = -best[i][-1][0]
 
         for batch in batches:
             of = batch.schema.field("ids").type.value_type
@@ -251,7 +301,8 @@ def _search(index: DataFrame, query: np.ndarray, term: np.ndarray, idf: np.ndarr
             q, doc, s = zip(*got[a : a + 100_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(doc, of), pa.array(s, pa.float64())], ["q", "doc_id", "score"])
 
-    found = keep(spread(index).mapInArrow(run, f"q int, doc_id {kind}, score double"))
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    found = keep(spread(index).coalesce(WAVES * cores).mapInArrow(run, f"q int, doc_id {kind}, score double"))
     shared.destroy()
     return found
 

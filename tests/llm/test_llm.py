@@ -557,6 +557,34 @@ def test_top_k_prunes():
     assert sum(s.touched for s in shards) < 0.5 * every
 
 
+@pytest.mark.parametrize(("queries", "postings", "pairs"), [(256, 500_000, 20_000), (7, 300, 5), (1, 1, 1)])
+def test_queries_are_scored_together(monkeypatch, queries, postings, pairs):
+    for name, value in (("QUERIES", queries), ("POSTINGS", postings), ("PAIRS", pairs)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(8)
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 20, 12)), *(f"m{x}" for x in rng.integers(0, 200, 25)), *(f"r{x}" for x in rng.integers(0, 3000, 15))]) for _ in range(400)]
+    shard = search.Shard(*search.index_of(list(range(400)), texts), 52.0)
+    assert 0 < shard.often < len(shard.matrix) < len(shard.terms)
+    q, term, _, _ = search._terms([*texts[::9], "", None, "nowhere r1", *texts[:3]])
+    n, place = len(texts[::9]) + 6, shard.places(term)
+    q, t = q[place >= 0], place[place >= 0]
+    idf = np.log1p((400 - shard.df[t] + 0.5) / (shard.df[t] + 0.5))
+    shard.price(t, idf)
+    every = [shard.exact(t[q == i], idf[q == i], np.arange(400)) for i in range(n)]
+    floor = np.array([0.0 if i % 3 == 0 else np.sort(x)[-5] if i % 3 == 1 else 0.9 * x.max() for i, x in enumerate(every)])
+    runs = list(shard.batches(q, t, n))
+    assert [a for a, _ in runs] == [0, *(z for _, z in runs[:-1])] and runs[-1][1] == n and all(0 < z - a <= queries for a, z in runs)
+    for a, z in runs:
+        mine = (q >= a) & (q < z)
+        asked, docs = shard.candidates_of(q[mine] - a, t[mine], 5, floor[a:z])
+        assert (np.diff(asked) >= 0).all()
+        for i in range(a, z):
+            best = np.sort(every[i])[-5]
+            got = set(docs[asked == i - a].tolist())
+            assert got >= set(np.flatnonzero((every[i] >= max(best, floor[i])) & (every[i] > 0)).tolist())
+            assert len(got) < 60 and all(every[i][d] > 0.999 * max(best, floor[i]) for d in got)
+
+
 def held(i, by):
     return zlib.crc32(str(i).encode()) % by
 
