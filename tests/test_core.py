@@ -430,3 +430,36 @@ def test_entry_without_training_data_part(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'q01_search_topk' in q and not [n for n in q if n.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def _plain_search(rows, k, keys=lambda r: (), least=-2.0):
+    """{(qid, id, rank)} by plain loops; rows are (id, vector, ...)."""
+    out = set()
+    for q in rows:
+        length = lambda v: np.sqrt(np.cumsum(np.float64(np.float32(v)) ** 2)[-1])
+        cos = lambda r: np.float32(np.cumsum(np.float64(np.float32(q[1])) * np.float32(r[1]))[-1] / (length(q[1]) * length(r[1])))
+        near = sorted((-cos(r), r[0]) for r in rows if keys(r) == keys(q))
+        out |= {(q[0], i, n + 1) for n, (c, i) in enumerate(near[:k]) if -c >= np.float32(least)}
+    return out
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_knn_join_over_many_blocks_with_copies_and_keys(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i:03d}", rng.normal(size=6).tolist(), "big" if i % 4 else f"g{i % 20}") for i in range(240)]
+    rows += [(f"c{i:03d}", rows[1][1], "big") for i in range(30)] + [(f"s{i}", (np.float32(rows[2][1]) * np.float32(2.0**e)).tolist(), "big") for i, e in enumerate((-60, 60, 1))]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>, app string")
+    for keys, by, least in (((), lambda r: (), None), (("app",), lambda r: r[2], None), (("app",), lambda r: r[2], 0.9)):
+        found = knn.knn_join(df.withColumnRenamed("id", "qid"), df, keys, 5, block, least=least).collect()
+        assert {(r.qid, r.id, r.rank) for r in found} == _plain_search(rows, 5, by, -2.0 if least is None else least) and len({(r.qid, r.id) for r in found}) == len(found)
+
+
+def test_knn_join_moves_each_row_once_or_so(spark):
+    """What is shuffled and kept does not grow with the number of pairs of blocks."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"r{i:04d}", x) for i, x in enumerate(rng.normal(size=(1600, 64)).tolist())], "id string, embedding array<float>")
+    found = knn.knn_join(df.withColumnRenamed("id", "qid"), df, (), 2, 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    below = plan[plan.index("CartesianProduct") :]
+    assert "Exchange" not in below and "Sort" not in below and found.count() == 3200
