@@ -1,5 +1,6 @@
 """Approximate neighbours: an inverted file. Unit vectors belong to the cell of the nearest centre; a query looks into the
-cells of its nearest centres only, and what stands there is scored exactly, block by block.
+cells of its nearest centres only, and what stands there is scored exactly, block by block. A query stays one row, however many
+cells it looks into.
 
 Centres are spherical k-means over a bounded sample (``SAMPLE`` rows of lowest id hash); every row is indexed. Hot cells are
 no hot spot: a cell is as many blocks as it needs."""
@@ -45,21 +46,23 @@ def centres_of(x: np.ndarray, cells: int, seed: int = 42) -> np.ndarray:
     return centre
 
 
-def _placed(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """``df`` with ``cell``, once for each of the ``probes`` nearest cells."""
+def _nearest(df: DataFrame, centres: np.ndarray, probes: int | None = None) -> DataFrame:
+    """``df`` with ``cell``, or with the array ``cells`` of the ``probes`` nearest."""
     shared = df.sparkSession.sparkContext.broadcast(centres)  # sqrt(SAMPLE) rows at most
     at = df.columns.index("embedding")
+    name, kind = ("cell", T.IntegerType()) if probes is None else ("cells", T.ArrayType(T.IntegerType()))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if not part.num_rows:
                 continue
-            x = np.array(part.column(at).to_pylist(), dtype=np.float32)
-            near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :probes]
-            rows = part.take(pa.array(np.repeat(np.arange(len(x)), near.shape[1])))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.reshape(-1).astype(np.int32))], [*rows.schema.names, "cell"])
+            x, n = np.array(part.column(at).to_pylist(), dtype=np.float32), probes or 1
+            near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :n] if len(shared.value) > 1 else np.zeros((len(x), 1))
+            flat = pa.array(near.reshape(-1).astype(np.int32))
+            cells = flat if probes is None else pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * near.shape[1], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*part.columns, cells], [*part.schema.names, name])
 
-    return df.where("embedding is not null").mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())]))
+    return df.where("embedding is not null").mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
 
 def build(corpus: DataFrame, cells: int | None = None, seed: int = 42) -> Cells:
@@ -67,11 +70,11 @@ def build(corpus: DataFrame, cells: int | None = None, seed: int = 42) -> Cells:
     some = corpus.where("embedding is not null").select("embedding", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(SAMPLE).select("embedding")
     x = np.array([r.embedding for r in some.collect()], dtype=np.float32)
     centres = centres_of(x, cells or max(1, int(len(x) ** 0.5)), seed) if len(x) else np.zeros((1, 1), np.float32)
-    return Cells(centres, keep(_placed(corpus, centres, 1)) if len(x) else corpus.withColumn("cell", F.lit(0)))
+    return Cells(centres, keep(_nearest(corpus, centres)) if len(x) else corpus.withColumn("cell", F.lit(0)))
 
 
 def approximate_neighbours(model: Cells, queries: DataFrame, corpus: DataFrame | None = None, k: int = 10, probes: float = PROBES) -> DataFrame:
     """(qid, id, cos, rank) among the rows in the ``probes`` share of cells nearest to each query. ``corpus``: only these rows."""
-    rows = model.corpus if corpus is None else _placed(corpus.select("id", "embedding"), model.centres, 1)
-    asked = _placed(queries.select("qid", "embedding"), model.centres, max(1, round(probes * len(model.centres))))
-    return knn_join(asked, rows.select("id", "embedding", "cell"), ("cell",), k)
+    rows = model.corpus if corpus is None else _nearest(corpus.select("id", "embedding"), model.centres)
+    asked = _nearest(queries.select("qid", "embedding"), model.centres, max(1, round(probes * len(model.centres))))
+    return knn_join(asked, rows.select("id", "embedding", "cell"), k=k, cells=len(model.centres))

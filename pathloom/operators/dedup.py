@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.vectors import norm
 from pathloom.operators.components import connected_components
 from pathloom.operators.knn import knn_join
+from pathloom.scratch import keep
 
 KEYS = ("platform", "app", "success")
 
@@ -42,7 +43,7 @@ def group_means(members: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def duplicate_members(df: DataFrame, threshold: float = 0.985, candidates: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """(id, root) of every row in a group of two or more; root is the group's smallest id."""
-    return connected_components(duplicate_edges(df, threshold, candidates, keys), "qid", "id")
+    return connected_components(keep(duplicate_edges(df, threshold, candidates, keys)), "qid", "id")
 
 
 def duplicate_groups(df: DataFrame, threshold: float = 0.985, candidates: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:

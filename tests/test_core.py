@@ -463,3 +463,18 @@ def test_knn_join_moves_each_row_once_or_so(spark):
     assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
     below = plan[plan.index("CartesianProduct") :]
     assert "Exchange" not in below and "Sort" not in below and found.count() == 3200
+
+
+def test_approximate_search_keeps_a_query_one_row(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = {f"r{i:03d}": rng.normal(size=8).astype(np.float32) for i in range(200)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "id string, embedding array<float>")
+    model = ann.build(df)
+    seen, join = [], ann.knn_join
+    monkeypatch.setattr(ann, "knn_join", lambda q, c, *a, **b: seen.append(q) or join(q, c, *a, **b))
+    got = ann.approximate_neighbours(model, df.withColumnRenamed("id", "qid"), None, 4, 0.5)
+    unit = lambda v: v / np.linalg.norm(v)
+    cells = {i: np.argsort([-(v @ c) for c in model.centres], kind="stable") for i, v in rows.items()}
+    n = round(0.5 * len(model.centres))
+    want = {(q, i) for q, v in rows.items() for i in sorted((i for i in rows if cells[i][0] in cells[q][:n]), key=lambda i: (-np.float32(unit(v.astype(float)) @ unit(rows[i].astype(float))), i))[:4]}
+    assert {(r.qid, r.id) for r in got.collect()} == want and seen[0].count() == len(rows)
