@@ -73,7 +73,7 @@ def lowest_recall(per_query: DataFrame, n: int = 10) -> DataFrame:
 
 
 def scored_pairs(labels: dict[str, DataFrame], corpus: DataFrame) -> DataFrame:
-    return metrics.pair_cosines(metrics.label_pairs(labels["duplicates"], labels["negatives"]), corpus)
+    return metrics.label_scored(labels["duplicates"], corpus, labels["negatives"])
 
 
 def worst_errors(scored: DataFrame, threshold: float, n: int = 20) -> DataFrame:
@@ -85,10 +85,9 @@ def worst_errors(scored: DataFrame, threshold: float, n: int = 20) -> DataFrame:
 def evaluate(labels: dict[str, DataFrame], corpus: DataFrame, k: int = 5, threshold: float = 0.92) -> DataFrame:
     """One row: retrieval averages, the confusion at ``threshold``, and the best of the sweep."""
     validate_labels(labels, corpus)
-    scored = scored_pairs(labels, corpus)
-    spark = corpus.sparkSession
-    at = metrics.confusion(scored, spark.createDataFrame([(float(threshold),)], "threshold float"))
-    best = metrics.calibrated(metrics.confusion(scored, metrics.sweep_thresholds(spark)))
+    spark, sets = corpus.sparkSession, (labels["duplicates"], corpus)
+    at = metrics.label_confusion(*sets, spark.createDataFrame([(float(threshold),)], "threshold float"), labels["negatives"])
+    best = metrics.calibrated(metrics.label_confusion(*sets, metrics.sweep_thresholds(spark), labels["negatives"]))
     one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
     parts = one(metrics.retrieval_summary(retrieval(labels, corpus, k)), "retrieval"), one(at, "deduplication"), one(best, "calibrated")
     return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each

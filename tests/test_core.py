@@ -478,3 +478,27 @@ def test_approximate_search_keeps_a_query_one_row(spark, monkeypatch):
     n = round(0.5 * len(model.centres))
     want = {(q, i) for q, v in rows.items() for i in sorted((i for i in rows if cells[i][0] in cells[q][:n]), key=lambda i: (-np.float32(unit(v.astype(float)) @ unit(rows[i].astype(float))), i))[:4]}
     assert {(r.qid, r.id) for r in got.collect()} == want and seen[0].count() == len(rows)
+
+
+def test_label_pairs_by_blocks(spark, monkeypatch):
+    """Counts and cosines of all pairs over several blocks, with tied ordinals, null labels, a zero vector, cosines on thresholds."""
+    monkeypatch.setattr(metrics, "label_pairs", None)  # the pairs are not made one by one
+    rng = np.random.default_rng(8)
+    vecs = [rng.integers(-2, 3, size=4).astype(float).tolist() for _ in range(700)]
+    vecs[3] = [0.0] * 4
+    rows = [(None if i % 50 == 49 else f"l{i % 3}", i // 2 if i < 40 else i, f"r{i:03d}") for i in range(700)]
+    groups, df = spark.createDataFrame(rows, "label string, ordinal int, id string"), spark.createDataFrame([(r[2], v) for r, v in zip(rows, vecs)], "id string, embedding array<float>")
+    x = np.array(vecs)
+    size = np.sqrt((x * x).sum(axis=1))
+    cos = np.float32((x @ x.T) / np.where(np.outer(size, size) == 0, 1, np.outer(size, size)))
+    want = {(a[2], b[2]): (None if a[0] is None or b[0] is None else a[0] == b[0], cos[i, j]) for i, a in enumerate(rows) for j, b in enumerate(rows) if a[1] < b[1]}
+    got = metrics.label_scored(groups, df).collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id): (r.duplicate, pytest.approx(r.cos, abs=1e-6)) for r in got} == want
+    for steps in ([-2.0, -1.0, 0.0, 0.5, 1.0, 1.5], [0.2]):
+        table_ = spark.createDataFrame([(t,) for t in steps], "threshold float")
+        at = {r.threshold: r for r in metrics.label_confusion(groups, df, table_).collect()}
+        assert at == {r.threshold: r for r in metrics.confusion(spark.createDataFrame(got), table_).collect()} and len(at) == len(steps)
+    for run in (lambda: metrics.label_scored(groups, df.where("id <> 'r005'")).count(), lambda: metrics.label_confusion(groups, df.where("id <> 'r005'"), table_).count()):
+        with pytest.raises(Exception, match="no vector"):
+            run()
+    assert metrics.label_scored(groups.limit(1), df).count() == 0 and metrics.label_confusion(groups.limit(0), df, table_).count() in (0, 1)
