@@ -20,17 +20,30 @@ MIN_DIM, MAX_DIM = 32, 4096
 
 def fnv1a64(texts: list[str]) -> np.ndarray:
     """64-bit FNV-1a of each text's UTF-16 code units (each unit is one step), as signed longs."""
-    data = [t.encode("utf-16-le", "surrogatepass") for t in texts]
-    size = np.array([len(d) // 2 for d in data], dtype=np.int64)
-    units = np.frombuffer(b"".join(data), dtype="<u2").astype(np.uint64)
-    start = np.cumsum(size) - size
-    out = np.full(len(texts), OFFSET, dtype=np.uint64)
-    order = np.argsort(-size, kind="stable")  # those that still have units stay in front
-    alive = np.searchsorted(-size[order], -np.arange(size.max() if len(size) else 0), side="left")
-    for i, n in enumerate(alive.tolist()):
-        who = order[:n]
-        out[who] = (out[who] ^ units[start[who] + i]) * PRIME
-    return out.view(np.int64)
+    return _Units(texts).after(np.full(len(texts), OFFSET, dtype=np.uint64), np.arange(len(texts))).view(np.int64)
+
+
+class _Units:
+    """The UTF-16 code units of some texts."""
+
+    def __init__(self, texts: list[str]) -> None:
+        data = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+        self._size = np.array([len(d) // 2 for d in data], dtype=np.int64)
+        self._units = np.frombuffer(b"".join(data), dtype="<u2").astype(np.uint64)
+        self._start = np.cumsum(self._size) - self._size
+
+    def after(self, states: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Each state, carried on over the units of the text with this number."""
+        size = self._size[which]
+        most = int(size.max()) if len(size) else 0
+        order = np.argsort((most - size).astype(np.uint16 if most < 2**16 else np.int64), kind="stable")  # those that still have units stay in front
+        alive = np.searchsorted(-size[order], -np.arange(most), side="left")
+        out, at = states[order], self._start[which][order]
+        for i, n in enumerate(alive.tolist()):
+            out[:n] = (out[:n] ^ self._units[at[:n] + i]) * PRIME
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
 
 def fnv1a64_native(text: Column) -> Column:
@@ -83,20 +96,41 @@ def unit(vector: np.ndarray) -> np.ndarray:
 ROWS = 1024
 
 
+class _Codes(dict):
+    """A number for each different token."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = len(self)
+        return self[token]
+
+
 def batch_sums(rows: list[tuple], dim: int) -> np.ndarray:
-    """The sums of each (instruction, app, actions): features of all rows are hashed at once, each different one once."""
-    names: dict[str, int] = {}
-    code, who, weight = [], [], []
+    """The sums of each (instruction, app, actions), those of ``features``. A pair's hash goes on from that of its first token, so
+    that each different token is encoded once and no pair is ever a string."""
+    codes, found = _Codes(), {}
     for i, (text, app, actions) in enumerate(rows):
-        found, w = features(text, actions, app)
-        code += [names.setdefault(x, len(names)) for x in found]
-        who += [i] * len(found)
-        weight += w
-    if not names:
-        return np.zeros((len(rows), dim))
-    h = fnv1a64(list(names))[code]
-    signed = np.where(h >= 0, weight, np.negative(weight))
-    return np.bincount(np.array(who) * dim + np.mod(h, dim), signed, minlength=len(rows) * dim).reshape(len(rows), dim)
+        first = f"{text or ''} {app}" if app is not None else text or ""
+        for space, said in [("instruction", first), *(("action", a) for a in (actions if actions is not None else []))]:
+            tokens = TOKEN.findall((said or "").lower())
+            if tokens:
+                found.setdefault(space, []).append((i, np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))))
+    out, units = np.zeros(len(rows) * dim), _Units(list(codes))
+    for space, weight in (("instruction", 2.0), ("action", 1.0)):
+        if space not in found:
+            continue
+        each = [len(c) for _, c in found[space]]
+        token, who = np.concatenate([c for _, c in found[space]]), np.repeat([i for i, _ in found[space]], each)
+        start = fnv1a64([f"{space}:", f"{space}:bigram:"]).view(np.uint64)
+        every = np.arange(len(codes))
+        alone = units.after(np.full(len(codes), start[0]), every)
+        left = (units.after(np.full(len(codes), start[1]), every) ^ np.uint64(ord("_"))) * PRIME
+        paired = np.ones(len(token), bool)
+        paired[np.cumsum(each) - 1] = False
+        at = np.flatnonzero(paired)
+        for h, row, w in ((alone[token], who, weight), (units.after(left[token[at]], token[at + 1]), who[at], weight / 2)):
+            h = h.view(np.int64)
+            out += np.bincount(row * dim + np.mod(h, dim), np.where(h >= 0, w, -w), minlength=len(out))
+    return out.reshape(len(rows), dim)
 
 
 def _columns(part, names) -> list[tuple]:

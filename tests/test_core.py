@@ -502,3 +502,14 @@ def test_label_pairs_by_blocks(spark, monkeypatch):
         with pytest.raises(Exception, match="no vector"):
             run()
     assert metrics.label_scored(groups.limit(1), df).count() == 0 and metrics.label_confusion(groups.limit(0), df, table_).count() in (0, 1)
+
+
+def test_pairs_of_tokens_are_not_made_as_strings(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["tap", "größe", "x_y", "İzmir", "\U0001f600z", "9", "a" * 300]
+    rows = [(" ".join(rng.choices(words, k=60)), rng.choice([None, "app é", "x"]), [" ".join(rng.choices(words, k=9)) for _ in range(i % 3)]) for i in range(30)] + [(None, None, None), ("one", None, [])]
+    want = [hashing.sums(*hashing.features(text, actions, app), 64) for text, app, actions in rows]
+    made, plain = [], hashing.fnv1a64
+    monkeypatch.setattr(hashing, "fnv1a64", lambda texts: made.extend(texts) or plain(texts))
+    assert (hashing.batch_sums(rows, 64) == np.array(want)).all() and (hashing.batch_sums([], 64).shape) == (0, 64)
+    assert len(made) < 20
